@@ -1,0 +1,5 @@
+"""Left empty on purpose: the work this package covers has no stream, window or state.
+
+The column functions in ``tallymark.functions`` keep no state, so nothing more is needed to use them in a
+streaming select.
+"""
