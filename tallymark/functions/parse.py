@@ -61,8 +61,13 @@ def _last_value_wins(record: Column) -> Column:
         .otherwise(record)
 
 
+def json_objects(text: Column) -> Column:
+    """A JSON list of nothing but objects as string maps; null for any other text."""
+    return F.transform(F.from_json(text, RECORDS, _LENIENT), _last_value_wins)
+
+
 def json_records(text: Column) -> Column:
-    """The objects of a JSON list as string maps; null when the text is no list."""
+    """The objects of a JSON list as string maps, other elements left out; null when the text is no list."""
     items = F.from_json(text, T.ArrayType(T.StringType()), _LENIENT)
     maps = F.transform(items, lambda e: F.from_json(e, T.MapType(T.StringType(), T.StringType()), _LENIENT))
     return F.transform(F.filter(maps, lambda m: m.isNotNull()), _last_value_wins)
@@ -83,12 +88,15 @@ def _literal_row(text: str | None) -> dict | None:
     }
 
 
-@F.arrow_udf(_LITERAL)
-def _literal_records(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _literal_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([_literal_row(text) for text in batch.to_pylist()], type=_LITERAL_ARROW)
 
 
+# Declared as nondeterministic so that a filter on a parsed column is not copied below it: every answer is read once.
+_literal_records = F.arrow_udf(_literal_batches, _LITERAL).asNondeterministic()
+
+
 def _needs_literal(text: Column, records: Column) -> Column:
     """True unless JSON and literal reading surely agree: plain quoted strings and punctuation only."""
     frame = F.regexp_replace(text, _QUOTED, "")
@@ -107,27 +115,26 @@ def with_parsed_answer(
     there ``true`` parses, numbers lose their point, and a trailing comma, ``None``, a bare object or a bare string
     fail.
     """
-    text = first_list(cleaned_answer(F.col(answer), null_words))
-    staged = df.withColumn("_text", text).withColumn("_json", json_records(F.col("_text")))
+    if mode not in ("exact", "native"):
+        raise ValueError(f"unknown mode {mode!r}")
+    staged = df.select("*", first_list(cleaned_answer(F.col(answer), null_words)).alias("_text"))
     if mode == "native":
-        staged = staged.withColumn("_records", F.col("_json"))
+        staged = staged.select("*", json_records(F.col("_text")).alias("_records"))
         normal = normalized(F.col("_records"))
         error = F.when(F.col("_records").isNull(), F.lit(_NOT_A_LIST)).otherwise(F.lit(""))
-    elif mode == "exact":
-        staged = (
-            staged.withColumn("_hard", _needs_literal(F.col("_text"), F.col("_json")))
-            .withColumn("_literal", _literal_records(F.when(F.col("_hard"), F.col("_text"))))
-            .withColumn("_records", F.when(F.col("_hard"), F.col("_literal.records")).otherwise(F.col("_json")))
-        )
-        normal = F.when(F.col("_hard"), normalized(F.col("_records"), F.col("_literal.literals"))) \
+    else:
+        staged = staged.select("*", json_objects(F.col("_text")).alias("_json"))
+        staged = staged.select("*", _needs_literal(F.col("_text"), F.col("_json")).alias("_hard"))
+        staged = staged.select("*", _literal_records(F.when(F.col("_hard"), F.col("_text"))).alias("_literal"))
+        hard = F.col("_hard")
+        staged = staged.select(
+            "*", F.when(hard, F.col("_literal.records")).otherwise(F.col("_json")).alias("_records"))
+        normal = F.when(hard, normalized(F.col("_records"), F.col("_literal.literals"))) \
             .otherwise(normalized(F.col("_records")))
         error = F.when(F.col(answer).isNull(), F.lit(_NOT_A_LIST)) \
-            .when(F.col("_hard"), F.coalesce(F.col("_literal.error"), F.lit(""))).otherwise(F.lit(""))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return (
-        staged.withColumn("y_pred", drop_empty(normal))
-        .withColumn("conversion_status", F.when(F.col("_records").isNull(), F.lit(FAILED)).otherwise(F.lit(OK)))
-        .withColumn("error_message", error)
-        .drop("_text", "_json", "_hard", "_literal", "_records")
+            .when(hard, F.coalesce(F.col("_literal.error"), F.lit(""))).otherwise(F.lit(""))
+    return staged.select(
+        *df.columns, drop_empty(normal).alias("y_pred"),
+        F.when(F.col("_records").isNull(), F.lit(FAILED)).otherwise(F.lit(OK)).alias("conversion_status"),
+        error.alias("error_message"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,25 +21,14 @@ def with_scores(
     An answer that could not be parsed counts as no records. ``span_scores`` is a struct by field, so that a report
     which reads one score of one field reads only that column from a stored table.
     """
-    def sides(keys):
-        t = F.array_distinct(keys(F.coalesce(F.col(truth), empty_records())))
-        p = F.array_distinct(keys(F.coalesce(F.col(predicted), empty_records())))
-        return F.struct(t.alias("t"), p.alias("p"))
-
-    views = {"_records": lambda c: match_keys(c, fields)}
-    for f in fields:
-        views[f"_{f}"] = lambda c, f=f: field_values(c, f)
-    staged = df.select("*", *[sides(keys).alias(name) for name, keys in views.items()])
-    counted = staged.select(
-        *df.columns, *[set_counts(F.col(f"{n}.t"), F.col(f"{n}.p")).alias(n) for n in views]
-    )
-
-    def score(name: str):
-        return scores_from_counts(F.col(f"{name}.a"), F.col(f"{name}.b"), F.col(f"{name}.i"))
-
+    t, p = (F.coalesce(F.col(c), empty_records()) for c in (truth, predicted))
+    views = {"_records": lambda c: match_keys(c, fields), **{f"_{f}": partial(field_values, field=f) for f in fields}}
+    keys = [F.array_distinct(make(c)).alias(f"{n}{side}") for n, make in views.items() for side, c in (("_t", t), ("_p", p))]
+    keyed = df.select("*", *keys)
+    counted = keyed.select(*df.columns, *[set_counts(F.col(f"{n}_t"), F.col(f"{n}_p")).alias(n) for n in views])
     return counted.select(
-        *df.columns, score("_records").alias("key_value_eval"),
-        F.struct(*[score(f"_{f}").alias(f) for f in fields]).alias("span_scores"),
+        *df.columns, scores_from_counts("_records").alias("key_value_eval"),
+        F.struct(*[scores_from_counts(f"_{f}").alias(f) for f in fields]).alias("span_scores"),
     )
 
 
@@ -78,8 +69,10 @@ def long_scores(
     counts = labels.groupBy(page).agg(
         F.sum("t").alias("a"), F.sum("p").alias("b"), F.sum(F.col("t") * F.col("p")).alias("i")
     )
-    filled = pages.join(counts, page, "left").na.fill(0, ["a", "b", "i"])
-    return filled.withColumn("score", scores_from_counts(F.col("a"), F.col("b"), F.col("i"))).drop("a", "b", "i")
+    filled = pages.join(counts, page, "left").select(
+        *pages.columns, F.struct(*[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in "abi"]).alias("_counts")
+    )
+    return filled.select(*pages.columns, scores_from_counts("_counts").alias("score"))
 
 
 def rouge1(df: DataFrame, row: str, reference: str, candidate: str) -> DataFrame:

@@ -248,8 +248,8 @@ def split_semi_join(spark, sf):
 
 @query
 def re_overview_merged(spark, sf):
-    """Macro and micro record report side by side."""
-    scored = _scored(spark, sf)
+    """Macro and micro record report side by side, both from one stored run."""
+    scored = written(spark, _scored(spark, sf).select("prompt_id", "label", "key_value_eval"), "scored")
     return reports.merged(
         reports.re_overview(scored, averages=("macro",)), reports.re_overview(scored, averages=("micro",)))
 
@@ -361,7 +361,8 @@ def digit_values(spark, sf):
 @query
 def normalized_records(spark, sf):
     """Every predicted record after cleaning, one row each."""
-    found = _parsed(spark, sf).select(*PAGE_KEY, F.posexplode("y_pred").alias("pos", "r"))
+    found = _parsed(spark, sf).select(*PAGE_KEY, F.posexplode_outer("y_pred").alias("pos", "r"))
+    found = found.where(F.col("pos").isNotNull())
     return _page_rows(found, "pos", *[F.col("r")[f].alias(f) for f in FIELDS])
 
 

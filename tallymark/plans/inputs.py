@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.records import drop_empty, normalized
+from tallymark.session import spread_small
 
 # One row of lineitem is one page with up to three annotated records and one model answer. Nothing is grouped.
 PAGES_SQL = """
@@ -108,14 +109,14 @@ FROM conversations WHERE role = 'assistant'
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _select(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """Run one of the texts above over the Parquet files of a folder."""
-    return spark.sql(re.sub(
-        r"\b(FROM|JOIN) (lineitem|orders|documents|labels|conversations)\b", rf"\1 parquet.`{sf}/\2.parquet`", sql
-    ))
+    """Run one of the texts above over the tables of a folder."""
+    names = set(re.findall(r"\b(?:FROM|JOIN) (lineitem|orders|documents|labels|conversations)\b", sql))
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{name: table(spark, sf, name) for name in names})
 
 
 def _record(**values: Column | str) -> Column:

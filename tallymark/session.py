@@ -49,3 +49,13 @@ def written(spark: SparkSession, df, name: str, partition_by: tuple[str, ...] =
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df):
+    """Deal out a scan that has fewer splits than the session has cores, such as one small file.
+
+    A row group is read by one task, so the work per row on a small file would otherwise run on one core. A scan of a
+    large table has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
