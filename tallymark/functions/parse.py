@@ -62,8 +62,8 @@ def _last_value_wins(record: Column) -> Column:
 
 
 def json_objects(text: Column) -> Column:
-    """A JSON list of nothing but objects as string maps; null for any other text."""
-    return F.transform(F.from_json(text, RECORDS, _LENIENT), _last_value_wins)
+    """A JSON list of nothing but objects as string maps; null for any other text. Repeated keys stay repeated."""
+    return F.from_json(text, RECORDS, _LENIENT)
 
 
 def json_records(text: Column) -> Column:
@@ -98,10 +98,12 @@ _literal_records = F.arrow_udf(_literal_batches, _LITERAL).asNondeterministic()
 
 
 def _needs_literal(text: Column, records: Column) -> Column:
-    """True unless JSON and literal reading surely agree: plain quoted strings and punctuation only."""
+    """True unless JSON and literal reading surely agree: plain quoted strings and punctuation only, no object inside
+    another one, no repeated key."""
     frame = F.regexp_replace(text, _QUOTED, "")
     braces = F.length(frame) - F.length(replace_text(frame, "{", ""))
-    plain = records.isNotNull() & frame.rlike(r"^[\[\]{}:,\s]*$") & (braces == F.size(records))
+    repeated = F.exists(records, lambda r: F.size(F.array_distinct(F.map_keys(r))) < F.size(r))
+    plain = records.isNotNull() & frame.rlike(r"^[\[\]{}:,\s]*$") & (braces == F.size(records)) & ~repeated
     return ~F.coalesce(plain, F.lit(False))
 
 

@@ -15,8 +15,11 @@ _EMPTY_LITERALS = ("", "0", "0.0", "-0.0", "False", "()", "{}")
 
 
 def _clean_value(key: Column, value: Column) -> Column:
-    text = F.when(key.isin(*DIGIT_FIELDS), digits_only(value)).otherwise(value)
-    return F.when(key.isin(*FIELDS), join_broken_words(text)).otherwise(value)
+    return (
+        F.when(key.isin(*DIGIT_FIELDS), digits_only(value))
+        .when(key.isin(*FIELDS), join_broken_words(value))
+        .otherwise(value)
+    )
 
 
 def normalized(records: Column, literals: Column | None = None) -> Column:
@@ -55,15 +58,14 @@ def field_view(records: Column, field: str) -> Column:
     return F.transform(records, lambda r: F.create_map(F.lit(field), F.coalesce(r[field], F.lit(""))))
 
 
+def _if_present(before: str, value: Column, after: str) -> Column:
+    """The value between two texts; nothing for a missing value, since ``concat`` with a null is null."""
+    return F.coalesce(F.concat(F.lit(before), value, F.lit(after)), F.lit(""))
+
+
 def record_text(record: Column) -> Column:
     """A record as sentences, present fields only, in field order."""
-    parts = [
-        F.when(record[f].isNull(), F.lit("")).otherwise(
-            F.concat(F.lit(f"{FIELD_TITLES[f]} ist "), record[f], F.lit(". "))
-        )
-        for f in FIELDS
-    ]
-    return F.concat(*parts)
+    return F.concat(*[_if_present(f"{FIELD_TITLES[f]} ist ", record[f], ". ") for f in FIELDS])
 
 
 def records_text(records: Column) -> Column:
@@ -92,11 +94,7 @@ def records_json(records: Column) -> Column:
 
 def match_key(record: Column, fields: tuple[str, ...] = MATCH_FIELDS) -> Column:
     """One text per record that is equal exactly when the present fields are."""
-    parts = [
-        F.when(record[f].isNull(), F.lit("")).otherwise(F.concat(F.lit(f"{f}-"), record[f], F.lit("__")))
-        for f in fields
-    ]
-    return F.concat(*parts)
+    return F.concat(*[_if_present(f"{f}-", record[f], "__") for f in fields])
 
 
 def match_keys(records: Column, fields: tuple[str, ...] = MATCH_FIELDS) -> Column:

@@ -42,7 +42,7 @@ def render_prompt(template: Column, text: Column) -> Column:
 
 def digits_only(c: Column) -> Column:
     """Keep decimal digits of any script."""
-    return F.regexp_replace(c, r"[^\p{Nd}]", "")
+    return F.regexp_replace(c, r"[^\p{Nd}]+", "")
 
 
 def join_broken_words(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,19 +53,24 @@ def with_field_views(df: DataFrame, truth: str = "y_true", predicted: str = "y_p
     return with_texts(exploded)
 
 
-def long_scores(
-    pages: DataFrame, truth: DataFrame, predicted: DataFrame, page: str, key: str = "key",
-) -> DataFrame:
-    """Set scores per page when records lie in rows of their own: ``page`` and the eleven scores as ``score``.
+def key_rows(df: DataFrame, page: str, truth: Column, predicted: Column) -> DataFrame:
+    """From one annotated and one predicted key per row (null where there is none) to rows for ``long_scores``."""
+    sides = F.array(
+        F.struct(truth.alias("key"), F.lit(1).alias("t"), F.lit(0).alias("p")),
+        F.struct(predicted.alias("key"), F.lit(0).alias("t"), F.lit(1).alias("p")),
+    )
+    rows = df.select(page, F.explode(sides).alias("_s")).select(page, "_s.*")
+    return rows.where(F.col("key").isNotNull())
+
 
-    Both aggregates combine before their shuffle and the first one spreads by page and key, so a page with a very
-    large number of records is never gathered in one place. Pages without any record score 1.
+def long_scores(pages: DataFrame, keys: DataFrame, page: str, key: str = "key") -> DataFrame:
+    """Set scores per page when records lie in rows of their own: the columns of ``pages`` and ``score``.
+
+    ``keys`` has a row per page and record key with flags ``t`` (annotated) and ``p`` (predicted). Both aggregates
+    combine before their shuffle and the first one spreads by page and key, so a page with a very large number of
+    records is never gathered in one place. Pages without any record score 1.
     """
-    none, one = F.lit(0), F.lit(1)
-    both = truth.select(page, key, one.alias("t"), none.alias("p")).unionByName(
-        predicted.select(page, key, none.alias("t"), one.alias("p"))
-    )
-    labels = both.groupBy(page, key).agg(F.max("t").alias("t"), F.max("p").alias("p"))
+    labels = keys.groupBy(page, key).agg(F.max("t").alias("t"), F.max("p").alias("p"))
     counts = labels.groupBy(page).agg(
         F.sum("t").alias("a"), F.sum("p").alias("b"), F.sum(F.col("t") * F.col("p")).alias("i")
     )

@@ -54,13 +54,11 @@ def _page_rows(df: DataFrame, *columns) -> DataFrame:
 
 def _long_record_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Record scores per order, from one row per line."""
-    lines = inputs.lines(spark, sf)
-
-    def keyed(column: str) -> DataFrame:
-        record = R.normalized(F.array(F.col(column)))[0]
-        return lines.where(F.col(column).isNotNull()).select("l_orderkey", R.match_key(record).alias("key"))
-
-    return scoring.long_scores(inputs.orders(spark, sf), keyed("truth"), keyed("found"), "l_orderkey")
+    lines = inputs.lines(spark, sf).select("l_orderkey", *[
+        F.when(F.col(c).isNotNull(), R.match_key(R.normalized(F.array(c))[0])).alias(c) for c in ("truth", "found")
+    ])
+    keys = scoring.key_rows(lines, "l_orderkey", F.col("truth"), F.col("found"))
+    return scoring.long_scores(inputs.orders(spark, sf), keys, "l_orderkey")
 
 
 # Sources, sinks, catalogue ------------------------------------------------------------------------------------------
