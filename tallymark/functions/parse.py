@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.fixed import FAILED, INNER_LIST, OK
-from tallymark.functions.records import drop_empty, normalized
+from tallymark.functions.records import normalized
 from tallymark.functions.text import replace_text
 
 RECORDS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
@@ -136,7 +136,7 @@ def with_parsed_answer(
         error = F.when(F.col(answer).isNull(), F.lit(_NOT_A_LIST)) \
             .when(hard, F.coalesce(F.col("_literal.error"), F.lit(""))).otherwise(F.lit(""))
     return staged.select(
-        *df.columns, drop_empty(normal).alias("y_pred"),
+        *df.columns, normal.alias("y_pred"),
         F.when(F.col("_records").isNull(), F.lit(FAILED)).otherwise(F.lit(OK)).alias("conversion_status"),
         error.alias("error_message"),
     )

@@ -23,34 +23,34 @@ def _clean_value(key: Column, value: Column) -> Column:
 
 
 def normalized(records: Column, literals: Column | None = None) -> Column:
-    """Reduce number fields to digits and close broken words; a record without any value becomes null.
+    """Reduce number fields to digits, close broken words, and leave out records that then hold no value.
 
     ``literals`` lists per record the keys whose value was a number or another non-text literal; those keep their
     print form.
     """
+    if literals is None:
+        cleaned = F.transform(
+            records,
+            lambda r: F.transform_values(r, lambda k, v: F.coalesce(_clean_value(k, v), F.lit(""))),
+        )
+        return F.filter(cleaned, lambda r: F.array_max(F.map_values(r)) != "")
 
-    def plain(record: Column) -> Column:
-        out = F.transform_values(record, lambda k, v: _clean_value(k, F.coalesce(v, F.lit(""))))
-        return F.when(F.exists(F.map_values(record), lambda v: F.coalesce(v, F.lit("")) != ""), out)
+    def keys_at(position: Column) -> Column:
+        return F.coalesce(F.get(literals, position), F.array().cast("array<string>"))
 
-    def typed(record: Column, position: Column) -> Column:
-        keys = F.coalesce(F.get(literals, position), F.array().cast("array<string>"))
-        out = F.transform_values(
-            record, lambda k, v: F.when(F.array_contains(keys, k), v).otherwise(_clean_value(k, v))
+    def clean(record: Column, position: Column) -> Column:
+        return F.transform_values(
+            record, lambda k, v: F.when(F.array_contains(keys_at(position), k), v).otherwise(_clean_value(k, v))
         )
-        filled = F.exists(
+
+    def filled(record: Column, position: Column) -> Column:
+        return F.exists(
             F.map_entries(record),
-            lambda e: F.when(F.array_contains(keys, e["key"]), ~e["value"].isin(*_EMPTY_LITERALS))
+            lambda e: F.when(F.array_contains(keys_at(position), e["key"]), ~e["value"].isin(*_EMPTY_LITERALS))
             .otherwise(e["value"] != ""),
         )
-        return F.when(filled, out)
-
-    return F.transform(records, plain if literals is None else typed)
-
 
-def drop_empty(records: Column) -> Column:
-    """Without the null records that ``normalized`` leaves for empty ones."""
-    return F.filter(records, lambda r: r.isNotNull())
+    return F.filter(F.transform(records, clean), filled)
 
 
 def field_view(records: Column, field: str) -> Column:

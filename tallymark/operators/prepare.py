@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.text import clean_label
 from tallymark.operators.skew import HOT_SHARE, bucket_counts, hash_rank, salted_lookup, text_key
+from tallymark.session import written
 
 SPLITS = ("train", "validation", "test")
 
@@ -122,7 +123,12 @@ def look_up_split(df: DataFrame, splits: DataFrame, text: str = "text", spread_b
 
 
 def prepare(df: DataFrame, keep: tuple[str, ...] = ("row_idx", "filename"), seed: int = 42) -> DataFrame:
-    """From raw rows to one row per text: ``keep``, ``label``, ``label_id``, ``split``, ``text_key`` and ``copies``."""
+    """From raw rows to one row per text: ``keep``, ``label``, ``label_id``, ``split``, ``text_key`` and ``copies``.
+
+    The first copies are stored before they are split: the texts are read and hashed once, and the counting and ranking
+    that follow read only short columns of the stored table.
+    """
     columns = tuple(dict.fromkeys((*keep, "row_idx", "label")))
     source = tuple(c for c in columns if c not in ("label", "text"))
-    return stratified_split(keep_first(labelled(df, "text", source), columns), seed)
+    firsts = written(df.sparkSession, keep_first(labelled(df, "text", source), columns), "first-copies")
+    return stratified_split(firsts, seed)

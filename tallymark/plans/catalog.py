@@ -48,6 +48,11 @@ def _splits(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     return prepare.prepare(inputs.texts(spark, sf), ("row_idx", "filename", *more), SEED)
 
 
+def _stored_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stored table, for queries that read it more than once."""
+    return written(spark, _splits(spark, sf), "splits")
+
+
 def _page_rows(df: DataFrame, *columns) -> DataFrame:
     return df.select(*PAGE_KEY, *columns)
 
@@ -232,7 +237,7 @@ def prompt_fanout(spark, sf):
 def split_lookup(spark, sf):
     """The split of every labelled row by its text, copies included."""
     rows = prepare.labelled(inputs.texts(spark, sf), "text")
-    found = prepare.look_up_split(rows, _splits(spark, sf))
+    found = prepare.look_up_split(rows, _stored_splits(spark, sf))
     return found.select(F.col("row_idx").alias("doc_id"), "label", "split")
 
 
@@ -240,7 +245,7 @@ def split_lookup(spark, sf):
 def split_semi_join(spark, sf):
     """Labelled rows whose file name occurs in the validation split."""
     rows = inputs.texts(spark, sf).select("row_idx", "filename", "label")
-    return metrics.rows_of_split(rows, _splits(spark, sf), "validation").select(
+    return metrics.rows_of_split(rows, _stored_splits(spark, sf), "validation").select(
         F.col("row_idx").alias("doc_id"), "filename")
 
 
@@ -470,7 +475,7 @@ def binary_by_scope(spark, sf):
     """Presence detection metrics for Validation, Test and All."""
     rows = inputs.texts(spark, sf).where(F.col("label").isNotNull()).select(
         "row_idx", "filename", X.clean_label(F.col("label")).alias("label"), "label_predicted")
-    return metrics.binary_report(rows, _splits(spark, sf))
+    return metrics.binary_report(rows, _stored_splits(spark, sf))
 
 
 @query
@@ -583,7 +588,7 @@ def split_counts(spark, sf):
 @query
 def split_frames(spark, sf):
     """The named frames train, validation, test and all."""
-    rows = _splits(spark, sf)
+    rows = _stored_splits(spark, sf)
     frames = [
         prepare.split_of(rows, s).select(F.lit(s).alias("frame"), F.col("row_idx").alias("doc_id"), "label")
         for s in (*prepare.SPLITS, "all")
@@ -603,7 +608,7 @@ def prepared_data(spark, sf):
 @query
 def pair_table(spark, sf):
     """M7: two same-class and two other-class partners for every training text."""
-    rows = _splits(spark, sf).where(F.col("split") == "train").select("text_key", "row_idx", "label")
+    rows = _stored_splits(spark, sf).where(F.col("split") == "train").select("text_key", "row_idx", "label")
     return pairs.pair_table(rows, 2, SEED)
 
 
@@ -676,5 +681,5 @@ def extraction_run(spark, sf):
         "row_idx", X.clean_label(F.col("label")).alias("label"), F.col("text").alias("context"),
         F.array(F.create_map(F.lit("kriterium"), F.regexp_extract("text", "^([A-Za-z0-9]+)", 1))).alias("y_true"))
     found = prompting.apply_prompts(docs, prompting.stub_generate, keep=("row_idx", "label", "y_true"))
-    scored = scoring.with_scores(found.withColumn("y_true", R.drop_empty(R.normalized(F.col("y_true")))))
+    scored = scoring.with_scores(found.withColumn("y_true", R.normalized(F.col("y_true"))))
     return reports.merged(reports.re_overview(scored), reports.formatting_overview(scored))

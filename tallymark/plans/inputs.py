@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.functions.records import drop_empty, normalized
+from tallymark.functions.records import normalized
 from tallymark.session import spread_small
 
 # One row of lineitem is one page with up to three annotated records and one model answer. Nothing is grouped.
@@ -148,7 +148,7 @@ PAGE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 def with_truth(df: DataFrame) -> DataFrame:
     """The annotated records as they are scored."""
-    return df.withColumn("y_true", drop_empty(normalized(F.col("criteria_info"))))
+    return df.withColumn("y_true", normalized(F.col("criteria_info")))
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:

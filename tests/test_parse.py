@@ -35,6 +35,7 @@ GOLDEN = [
     ("apostrophe", '[{"kriterium":"l\'eau"}]', [{"kriterium": "l'eau"}], "same"),
     ("inner object", '[{"kriterium":"A","x":{"y":"z"}}]', [{"kriterium": "A", "x": "{'y': 'z'}"}],
      [{"kriterium": "A", "x": '{"y":"z"}'}]),
+    ("letters only", '[{"zkNummer":"ZK"},{"zkNummer":"A1"}]', [{"zkNummer": "1"}], "same"),
     ("NaN", '[{"kriterium":NaN}]', FAIL, [{"kriterium": "NaN"}]),
     ("empty", "", FAIL, FAIL),
 ]
