@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.answers import best_class, decode_class
+from tallymark.functions.vectors import MAX_LABELS
 from tallymark.operators.metrics import macro_f1
 
 # The default number of solver steps, and the ranges the search draws from.
@@ -66,8 +67,14 @@ def predict(model: PipelineModel, df: DataFrame, names: Sequence[str], model_nam
 
 
 def class_names(df: DataFrame) -> list[str]:
-    """Labels in the order of their ids, as the driver-side list a model is decoded by: one row per class."""
-    return [r["label"] for r in df.select("label", "label_id").distinct().orderBy("label_id").collect()]
+    """Labels in the order of their ids, as the driver-side list a model is decoded by: one row per class.
+
+    A model keeps weights per class on the driver, so a table with more than 1024 classes is an error.
+    """
+    rows = df.select("label", "label_id").distinct().orderBy("label_id").limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} classes")
+    return [r["label"] for r in rows]
 
 
 def draw_params(n_trials: int, seed: int, space: Mapping = SPACE) -> list[dict]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 256
 SALTS = 64
-_BUCKET_DIGITS = 3
+_BUCKET_DIGITS = 4
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -50,7 +50,7 @@ def bucket_counts(df: DataFrame, group: str, order: str) -> DataFrame:
 def hash_rank(df: DataFrame, group: str, order: str, tie: str, buckets: DataFrame) -> DataFrame:
     """Add ``rank``: the exact place (from 1) of each row in its group by a hex hash column, then by ``tie``.
 
-    The first three hex digits cut every group into 4096 even pieces. Only a piece is sorted in one task; the sizes of
+    The first four hex digits cut every group into 65536 even pieces. Only a piece is sorted in one task; the sizes of
     the pieces before it (``buckets``, from ``bucket_counts``) give the rest of the place, so a group with half of all
     rows is ranked in parallel. Further columns of ``buckets`` come along.
     """

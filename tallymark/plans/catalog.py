@@ -124,16 +124,7 @@ def classifier_store(spark, sf):
     """Store predictions and metrics of both splits, read the combined sheet back."""
     path = scratch_path(spark, "classifier")
     rows = _with_predictions(spark, sf)
-    rows = written(spark, rows, "predictions")
-    sheets = {}
-    for split in ("validation", "test"):
-        part = rows.where(F.col("split") == split)
-        sheets[f"predictions_{split}_set"] = part
-        sheets[f"scores_{split}_set"] = metrics.long_metrics(metrics.wide_metrics(part, "label", "predicted_label"))
-    sheets["scores_validation_and_test_set"] = metrics.side_by_side(
-        sheets["scores_validation_set"], sheets["scores_test_set"]
-    )
-    results.write_sheets(sheets, path)
+    results.write_classifier_run(written(spark, rows, "predictions"), {"max_iter": 100, "seed": SEED}, path)
     return results.read_sheet(spark, path, "scores_validation_and_test_set")
 
 

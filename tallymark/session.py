@@ -21,6 +21,7 @@ def build_session(app: str = "tallymark", master: str | None = None, **settings:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.sql.session.timeZone": "UTC",
     }
     for key, value in {**defaults, **settings}.items():

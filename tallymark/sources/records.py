@@ -23,7 +23,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     read in several splits.
     """
     df = spark.read.schema(RECORDS_SCHEMA).json(path)
-    return df.withColumn("source_file", F.col("_metadata.file_path")).withColumn(
+    return df.withColumn(
         "row_idx",
         F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()),
     )

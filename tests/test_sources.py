@@ -101,6 +101,19 @@ def test_sheets(spark, tmp_path):
     assert results.read_sheet(spark, path, "a").count() == 2 and os.path.isdir(f"{path}/b")
 
 
+def test_classifier_sheets(spark, tmp_path):
+    rows = spark.createDataFrame([("validation", "a", "a"), ("validation", "b", "a"), ("test", "a", "a"), ("train", "b", "b")],
+                                 "split string, label string, predicted_label string")
+    results.write_classifier_run(rows, {"max_iter": 5}, str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == [
+        "Hyperparameters", "predictions_test_set", "predictions_validation_set", "scores_test_set",
+        "scores_validation_and_test_set", "scores_validation_set"]
+    both = {r["Metric"]: r for r in results.read_sheet(spark, str(tmp_path), "scores_validation_and_test_set").collect()}
+    assert (both["accuracy"]["Validation"], both["accuracy"]["Test"]) == (50.0, 100.0)
+    assert results.read_sheet(spark, str(tmp_path), "Hyperparameters").first()["max_iter"] == "5"
+    assert results.read_sheet(spark, str(tmp_path), "predictions_validation_set").count() == 2
+
+
 def test_scratch_folder_comes_from_the_session(spark, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.range(3).withColumn("p", F.lit("x"))
