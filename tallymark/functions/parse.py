@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,8 +90,10 @@ def _literal_row(text: str | None) -> dict | None:
 
 
 def _literal_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([_literal_row(text) for text in batch.to_pylist()], type=_LITERAL_ARROW)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", SyntaxWarning)  # odd escapes in answers are no news
+        for batch in batches:
+            yield pa.array([_literal_row(text) for text in batch.to_pylist()], type=_LITERAL_ARROW)
 
 
 # Declared as nondeterministic so that a filter on a parsed column is not copied below it: every answer is read once.

@@ -64,5 +64,5 @@ def hash_rank(df: DataFrame, group: str, order: str, tie: str, buckets: DataFram
 
 
 def text_key(text: Column) -> Column:
-    """A short stand-in for a long text in shuffles and joins."""
-    return F.sha2(text, 256)
+    """A short stand-in for a long text in shuffles and joins; never null, so a row without a text is not lost there."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))

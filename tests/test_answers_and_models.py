@@ -46,6 +46,9 @@ def test_nearest_label(spark):
             continue
         best = max(catalogue, key=lambda c: cosine(r["v"], c[1]))
         assert r["n"]["label"] == best[0] and abs(r["n"]["score"] - cosine(r["v"], best[1])) < 1e-12
+    some = spark.createDataFrame([(1, None), (2, vectors[1]), (3, None)], "i int, v array<double>")
+    got = {r["i"]: r["n"] for r in some.select("i", nearest_label(F.col("v"), catalogue).alias("n")).collect()}
+    assert got[1] is None and got[3] is None and got[2]["label"] == "nein"
     named = df.withColumn("l", (F.col("i") % 2).cast("string"))
     assert label_catalogue(named, "l", "v", "i") == [("0", vectors[0]), ("1", vectors[1])]
     with pytest.raises(ValueError, match="more than"):

@@ -95,6 +95,13 @@ def test_label_ids_counts_and_frames(spark):
     assert prepare.split_of(frame, "all").columns == ["i", "split"]
 
 
+def test_rows_without_text_are_one_text(spark):
+    df = spark.createDataFrame([(1, "f", None, "a"), (2, "f", None, "a"), (3, "f", "x", "a")], SCHEMA)
+    splits = prepare.prepare(df)
+    assert sorted(r["row_idx"] for r in splits.collect()) == [1, 3]
+    assert all(r["split"] for r in prepare.look_up_split(df, splits).collect())
+
+
 def test_first_rows(spark):
     df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "row_idx int, x string")
     assert [r["x"] for r in prepare.first_rows(df, 2).collect()] == ["a", "b"]
