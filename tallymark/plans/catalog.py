@@ -667,10 +667,12 @@ def generated_answers(spark, sf):
 
 @query
 def extraction_run(spark, sf):
-    """Labelled documents from prompts to the record report, in one job."""
+    """Labelled documents from prompts to the reports. The answers are stored before two
+    reports read them, so that the generator runs once."""
     docs = inputs.texts(spark, sf).select(
         "row_idx", X.clean_label(F.col("label")).alias("label"), F.col("text").alias("context"),
         F.array(F.create_map(F.lit("kriterium"), F.regexp_extract("text", "^([A-Za-z0-9]+)", 1))).alias("y_true"))
     found = prompting.apply_prompts(docs, prompting.stub_generate, keep=("row_idx", "label", "y_true"))
+    found = written(spark, found, "answers")
     scored = scoring.with_scores(found.withColumn("y_true", R.normalized(F.col("y_true"))))
     return reports.merged(reports.re_overview(scored), reports.formatting_overview(scored))
