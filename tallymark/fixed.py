@@ -68,3 +68,9 @@ FALSE_WORDS = ("no", "false", "f", "n", "0")
 
 # The pattern of a list without inner lists.
 INNER_LIST = r"(\[[^\[\]]*\])"
+
+# Replacements that clean an answer, in this order.
+ANSWER_REPLACEMENTS = (("`", ""), ("null", "''"), ("-\n", ""), ("\n", " "), ("] ]", "]"), ("]]", "]"))
+
+# Marks of a word broken over two lines, removed in this order.
+WORD_BREAKS = ("\n-", "-\n")

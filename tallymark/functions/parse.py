@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.fixed import FAILED, INNER_LIST, OK
+from tallymark.fixed import ANSWER_REPLACEMENTS, FAILED, INNER_LIST, OK
 from tallymark.functions.records import normalized
 from tallymark.functions.text import replace_text
 
@@ -36,15 +36,14 @@ def cleaned_answer(answer: Column, null_words: str = "compat") -> Column:
 
     ``compat`` empties the letters ``null`` wherever they stand, inside words too; ``fixed`` only as a value.
     """
-    c = replace_text(answer, "`", "")
-    if null_words == "compat":
-        c = replace_text(c, "null", "''")
-    elif null_words == "fixed":
-        c = F.regexp_replace(c, r":(\s*)null\b", ":$1''")
-    else:
+    if null_words not in ("compat", "fixed"):
         raise ValueError(f"unknown null_words {null_words!r}")
-    c = replace_text(replace_text(c, "-\n", ""), "\n", " ")
-    return replace_text(replace_text(c, "] ]", "]"), "]]", "]")
+    for search, by in ANSWER_REPLACEMENTS:
+        if search == "null" and null_words == "fixed":
+            answer = F.regexp_replace(answer, r":(\s*)null\b", f":$1{by}")
+        else:
+            answer = replace_text(answer, search, by)
+    return answer
 
 
 def first_list(text: Column) -> Column:

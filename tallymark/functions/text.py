@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymark.fixed import FALSE_WORDS, INSTRUCTION_END, TRUE_WORDS
+from tallymark.fixed import FALSE_WORDS, INSTRUCTION_END, TRUE_WORDS, WORD_BREAKS
 
 # Unicode white space plus the four information separators.
 _SPACE = r"[\s\x1c-\x1f]+"
@@ -47,7 +47,9 @@ def digits_only(c: Column) -> Column:
 
 def join_broken_words(c: Column) -> Column:
     """Close up words split by a hyphen at a line end or line start."""
-    return replace_text(replace_text(c, "\n-", ""), "-\n", "")
+    for mark in WORD_BREAKS:
+        c = replace_text(c, mark, "")
+    return c
 
 
 def parse_flag(c: Column) -> Column:

@@ -309,7 +309,8 @@ def _records_json() -> str:
         )
         return f"('\"\\\"{{' || concat_ws(', ', {parts}) || '}}\\\"\"')"
     t, _ = _lists(text)
-    return f"{_WITH_PAGES} SELECT {KEY}, '[' || coalesce(array_to_string(list_sort({t}), ', '), '') || ']' AS y_true_as_json FROM clean"
+    joined = f"coalesce(array_to_string(list_sort({t}), ', '), '')"
+    return f"{_WITH_PAGES} SELECT {KEY}, '[' || {joined} || ']' AS y_true_as_json FROM clean"
 
 
 def _prompt_fanout() -> str:
@@ -338,10 +339,15 @@ ref_tokens AS (SELECT pair_id, token, count(*) AS n FROM (SELECT pair_id,
   unnest(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS token FROM pairs_in) GROUP BY ALL),
 cand_tokens AS (SELECT pair_id, token, count(*) AS n FROM (SELECT pair_id,
   unnest(regexp_extract_all(lower(candidate), '[a-z0-9]+')) AS token FROM pairs_in) GROUP BY ALL),
-hits AS (SELECT pair_id, sum(least(r.n, c.n)) AS h FROM ref_tokens r JOIN cand_tokens c USING (pair_id, token) GROUP BY 1),
-nr AS (SELECT pair_id, sum(n) AS n FROM ref_tokens GROUP BY 1), nc AS (SELECT pair_id, sum(n) AS n FROM cand_tokens GROUP BY 1),
-pr AS (SELECT p.pair_id, coalesce(h / nullif(nc.n, 0), 0)::DOUBLE AS precision, coalesce(h / nullif(nr.n, 0), 0)::DOUBLE AS recall
-  FROM pairs_in p LEFT JOIN hits USING (pair_id) LEFT JOIN nr ON nr.pair_id = p.pair_id LEFT JOIN nc ON nc.pair_id = p.pair_id)"""
+hits AS (
+  SELECT pair_id, sum(least(r.n, c.n)) AS h FROM ref_tokens r JOIN cand_tokens c USING (pair_id, token) GROUP BY 1),
+nr AS (SELECT pair_id, sum(n) AS n FROM ref_tokens GROUP BY 1),
+nc AS (SELECT pair_id, sum(n) AS n FROM cand_tokens GROUP BY 1),
+pr AS (
+  SELECT p.pair_id, coalesce(h / nullif(nc.n, 0), 0)::DOUBLE AS precision,
+    coalesce(h / nullif(nr.n, 0), 0)::DOUBLE AS recall
+  FROM pairs_in p LEFT JOIN hits USING (pair_id) LEFT JOIN nr ON nr.pair_id = p.pair_id
+    LEFT JOIN nc ON nc.pair_id = p.pair_id)"""
 
 
 def _pair_table() -> str:
@@ -374,7 +380,6 @@ def _stub(source: str, keep: str, ids) -> str:
 def _extraction_run() -> str:
     ids = [p.prompt_id for p in PROMPTS if p.purpose == "extract"]
     truth = "regexp_extract(page, '^([A-Za-z0-9]+)', 1)"
-    word = "regexp_extract(trim(regexp_replace(left(page, 40), '[^A-Za-z0-9 ]', '', 'g')), '^[^ ]*')"
     return f"""WITH texts AS ({TEXTS_SQL}), named AS (SELECT *, replace(label, '?', '') AS lab FROM texts),
 {_stub('named', 'lab AS label,', ids)},
 counted AS (
@@ -394,7 +399,6 @@ def build() -> dict[str, str]:
     scores = ", ".join(SCORE_FIELDS)
     two = ("f1_macro", "f1_micro")
     six = tuple(f"{s}_{a}" for a in ("macro", "micro") for s in ("precision", "recall", "f1"))
-    raw_true = _lists(_sentence)[0]
     out = {
         "jsonl_records": f"""{_WITH_PAGES}, raw AS (SELECT *, list_filter([
             CASE WHEN t1 THEN {_sentence('zk1', 'kr1', 'ge1', 'mp1')} END,
