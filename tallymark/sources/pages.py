@@ -20,7 +20,8 @@ def document_name(name: Column) -> Column:
 def read_pages(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
     """One row per file with its whole text; ``label`` is a class that holds for the whole folder."""
     df = spark.read.text(path, wholetext=True)
-    name = F.col("_metadata.file_name")
+    # Spark gives file names as they stand in a URI: percent signs decode, a plus is a plus.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return df.select(
         name.alias("filename"), tender_id(name).alias("tender_id"), document_name(name).alias("document"),
         F.col("value").alias("text"), F.lit(label).cast("string").alias("label"),

@@ -31,11 +31,11 @@ def test_records_keep_file_order_and_missing_fields(spark, tmp_path):
 
 
 def test_pages(spark, tmp_path):
-    for name, text in [("12_a_b.txt", "eins\nzwei"), ("13_c, d (e)_ö%20.txt", "eins\nzwei")]:
+    for name, text in [("12_a_b.txt", "eins\nzwei"), ("13_c, d (e)+_ö%20.txt", "eins\nzwei")]:
         (tmp_path / name).write_text(text, encoding="utf-8")
     got = sorted(map(tuple, pages.read_pages(spark, str(tmp_path), "has_no_criteria").collect()))
     assert got == [("12_a_b.txt", "12", "a_b", "eins\nzwei", "has_no_criteria"),
-                   ("13_c, d (e)_ö%20.txt", "13", "c, d (e)_ö%20", "eins\nzwei", "has_no_criteria")]
+                   ("13_c, d (e)+_ö%20.txt", "13", "c, d (e)+_ö%20", "eins\nzwei", "has_no_criteria")]
 
 
 def test_prompts_fan_out_and_render(spark):
