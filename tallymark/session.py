@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
-
 
 def build_session(app: str = "tallymark", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC timestamps; ``settings`` override."""
@@ -30,19 +26,18 @@ def build_session(app: str = "tallymark", master: str | None = None, **settings:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table in the cluster's shared folder (``spark.checkpoint.dir``).
+    """A new path for an intermediate table, dropped when the session's JVM ends.
 
-    Only a local session may do without that setting; it gets a temporary folder that goes with the process.
+    It lies in the folder of ``spark.checkpoint.dir``, or in the warehouse folder where that is unset: both are shared
+    by the driver and all executors. The file system that holds the path deletes it at the end of the session.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        if not _local_folders:
-            _local_folders.append(tempfile.TemporaryDirectory(prefix="tallymark-"))
-            atexit.register(_local_folders[0].cleanup)
-        shared = _local_folders[0].name
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/tallymark-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/{name}"
 
 
 def written(spark: SparkSession, df, name: str, partition_by: tuple[str, ...] = ()):
