@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import minhash, packing, revisits, sharding, simhash, urls
+from tallymark.llm import decontaminate, licenses, minhash, packing, quality, revisits, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,24 @@ def op1_fingerprints(spark, sf):
     return minhash.edited_fingerprints(spark, _table(spark, sf, "documents"))
 
 
+@query
+def op2_licenses(spark, sf):
+    """License phrases and templates in every document."""
+    return licenses.scanned(_table(spark, sf, "documents")).drop("spans")
+
+
+@query
+def op3_decontamination(spark, sf):
+    """Every benchmark item that a document contains."""
+    return decontaminate.contaminated(spark, _table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@query
+def op4_quality(spark, sf):
+    """Posterior quality of every document."""
+    return quality.judged(spark, _table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 @query
 def op6_feistel_shards(spark, sf):
     """All documents dealt over 40 shards by a keyed permutation of their row numbers."""
