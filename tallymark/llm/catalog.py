@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, licenses, minhash, packing, quality, revisits, sharding, simhash, urls
+from tallymark.llm import decontaminate, hmm, licenses, minhash, packing, quality, revisits, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,12 @@ def op4_quality(spark, sf):
     return quality.judged(spark, _table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+@query
+def op5_hmm_scores(spark, sf):
+    """Unigram and hidden Markov scores of every document."""
+    return hmm.scored(spark, _table(spark, sf, "documents"))
+
+
 @query
 def op6_feistel_shards(spark, sf):
     """All documents dealt over 40 shards by a keyed permutation of their row numbers."""
