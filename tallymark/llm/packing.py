@@ -11,12 +11,12 @@ Each piece then finds its place by arithmetic: its rank among the pieces of its
 which use of which pattern it is, by an equal join on the length with the table of patterns, at most a few thousand rows.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are packed each; null ids are ids of their own; an
-empty table gives an empty table; other columns are not read. Words that repeat are tokenised once per task, in a store
-that is emptied whenever it holds ``STORE`` words.
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +31,6 @@ LENGTH = 1024
 END_ID = 0
 GAP = 0.001
 ROUNDS = 500
-STORE = 400_000
 PIECES = 256
 _TOKENIZERS: dict = {}
 
@@ -42,26 +41,30 @@ def _default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of each word that the tokenizer's own splitting rule yields."""
+class TextIds:
+    """Ids (little-endian unsigned 32-bit) of a text by the vocabulary of a byte-level tokenizer file.
+
+    The file's vocabulary, in the order of its merges, is handed to the faster of the two libraries that encode it; both give
+    the same ids, which a test checks. The texts of special tokens are ordinary text.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the texts of special tokens are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= STORE:
-            self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        # Byte-level files write each byte as a printable character: itself if printable, else the next one from 256.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(x): x for x in plain} | {
+            chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
+        ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if all(c in byte for c in token)}
+        ranks.pop(b"<|endoftext|>", None)
+        self.encoding = tiktoken.Encoding(
+            "bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        return b"".join([self[word] for word in self.split(text)])
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None) -> DataFrame:
@@ -72,12 +75,12 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordIds(path)
-        words = _TOKENIZERS[path]
+            _TOKENIZERS[path] = TextIds(path)
+        tokenizer = _TOKENIZERS[path]
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py() or "") + end
+                ids = tokenizer.ids(text.as_py() or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     part = ids[4 * start: 4 * (start + length)]
