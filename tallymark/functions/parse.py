@@ -21,12 +21,12 @@ _QUOTED = r""""[^"\\]*"|'[^'\\]*'"""
 _NOT_A_LIST = "not a list of records"
 _LITERAL = T.StructType([
     T.StructField("records", RECORDS),
-    T.StructField("literals", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("literals", T.ArrayType(T.MapType(T.StringType(), T.BooleanType()))),
     T.StructField("error", T.StringType()),
 ])
 _LITERAL_ARROW = pa.struct([
     ("records", pa.list_(pa.map_(pa.string(), pa.string()))),
-    ("literals", pa.list_(pa.list_(pa.string()))),
+    ("literals", pa.list_(pa.map_(pa.string(), pa.bool_()))),
     ("error", pa.string()),
 ])
 
@@ -83,7 +83,7 @@ def _literal_row(text: str | None) -> dict | None:
     as_text = [{str(k): "" if v is None else str(v) for k, v in item.items()} for item in found]
     return {
         "records": [list(item.items()) for item in as_text],
-        "literals": [[str(k) for k, v in item.items() if not isinstance(v, str)] for item in found],
+        "literals": [[(str(k), bool(v)) for k, v in item.items() if not isinstance(v, str)] for item in found],
         "error": None,
     }
 
@@ -95,8 +95,9 @@ def _literal_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.array([_literal_row(text) for text in batch.to_pylist()], type=_LITERAL_ARROW)
 
 
-# Declared as nondeterministic so that a filter on a parsed column is not copied below it: every answer is read once.
-_literal_records = F.arrow_udf(_literal_batches, _LITERAL).asNondeterministic()
+# Deterministic, so filters on other columns pass below it and prune the scan. A filter on a parsed column is evaluated
+# below as well; store the parsed rows before filtering them by status if that matters.
+_literal_records = F.arrow_udf(_literal_batches, _LITERAL)
 
 
 def _needs_literal(text: Column, records: Column) -> Column:

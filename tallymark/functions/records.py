@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tallymark.fixed import DIGIT_FIELDS, FIELDS, FIELD_TITLES, MATCH_FIELDS
 from tallymark.functions.text import digits_only, join_broken_words, python_json_string, replace_text
 
-# How empty values that are no text are printed.
-_EMPTY_LITERALS = ("", "0", "0.0", "-0.0", "False", "()", "{}")
-
 
 def _clean_value(key: Column, value: Column) -> Column:
     return (
@@ -25,8 +22,8 @@ def _clean_value(key: Column, value: Column) -> Column:
 def normalized(records: Column, literals: Column | None = None) -> Column:
     """Reduce number fields to digits, close broken words, and leave out records that then hold no value.
 
-    ``literals`` lists per record the keys whose value was a number or another non-text literal; those keep their
-    print form.
+    ``literals`` maps per record the keys whose value was a number or another non-text literal to whether it counts as a
+    value; those keep their print form.
     """
     if literals is None:
         cleaned = F.transform(
@@ -36,18 +33,17 @@ def normalized(records: Column, literals: Column | None = None) -> Column:
         return F.filter(cleaned, lambda r: F.array_max(F.map_values(r)) != "")
 
     def keys_at(position: Column) -> Column:
-        return F.coalesce(F.get(literals, position), F.array().cast("array<string>"))
+        return F.coalesce(F.get(literals, position), F.create_map().cast("map<string,boolean>"))
 
     def clean(record: Column, position: Column) -> Column:
         return F.transform_values(
-            record, lambda k, v: F.when(F.array_contains(keys_at(position), k), v).otherwise(_clean_value(k, v))
+            record, lambda k, v: F.when(F.map_contains_key(keys_at(position), k), v).otherwise(_clean_value(k, v))
         )
 
     def filled(record: Column, position: Column) -> Column:
         return F.exists(
             F.map_entries(record),
-            lambda e: F.when(F.array_contains(keys_at(position), e["key"]), ~e["value"].isin(*_EMPTY_LITERALS))
-            .otherwise(e["value"] != ""),
+            lambda e: F.coalesce(keys_at(position)[e["key"]], e["value"] != ""),
         )
 
     return F.filter(F.transform(records, clean), filled)

@@ -36,8 +36,8 @@ def lower_stripped(c: Column) -> Column:
 
 
 def render_prompt(template: Column, text: Column) -> Column:
-    """The instruction sent to the generator: template, text, end marker."""
-    return F.concat(template, text, F.lit(" " + INSTRUCTION_END))
+    """The instruction sent to the generator: template, text (a null one is empty), end marker."""
+    return F.concat(template, F.coalesce(text, F.lit("")), F.lit(" " + INSTRUCTION_END))
 
 
 def digits_only(c: Column) -> Column:

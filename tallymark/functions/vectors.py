@@ -10,20 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LABELS = 1024
 _BEST = T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 Catalogue = Sequence[tuple[str, Sequence[float]]]
 
 
-def label_catalogue(df: DataFrame, label: str, vector: str, order: str) -> Catalogue:
-    """The first vector of each label, as a driver-side list for ``nearest_label``.
+def label_catalogue(df: DataFrame, label: str, vector: str, order: str, labels: Sequence[str]) -> Catalogue:
+    """The first vector of each of the caller's labels, in sorted order, as a driver-side list for ``nearest_label``.
 
-    A label catalogue is configuration and becomes part of the plan, so more than 1024 labels are an error.
+    Only rows of these labels are fetched; a label without a row is an error.
     """
-    firsts = df.groupBy(label).agg(F.min_by(vector, order).alias("v")).limit(MAX_LABELS + 1).collect()
-    if len(firsts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels; a catalogue that long needs a nearest-neighbour join")
-    return sorted((r[0], list(r[1])) for r in firsts)
+    wanted = df.where(F.col(label).isin(list(labels)))
+    found = {r[0]: list(r[1]) for r in wanted.groupBy(label).agg(F.min_by(vector, order).alias("v")).collect()}
+    missing = sorted(set(labels) - set(found))
+    if missing:
+        raise ValueError(f"no vector for label {missing[0]!r}")
+    return sorted(found.items())
 
 
 def nearest_label(vector: Column, catalogue: Catalogue) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -13,15 +13,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.answers import best_class, decode_class
-from tallymark.functions.vectors import MAX_LABELS
+from tallymark.functions.answers import best_class
 from tallymark.operators.metrics import macro_f1
 
-# The default number of solver steps, and the ranges the search draws from.
 MAX_ITER = 100
+# What the search draws from: from hardly any to strong regularisation, and from a rough to a full fit.
 SPACE = {
-    "reg_param": ("log", 1e-6, 1e-4),
-    "max_iter": ("int", 3, 20),
+    "reg_param": ("log", 1e-4, 1e-1),
+    "max_iter": ("int", 10, 60),
     "elastic_net": ("choice", (0.0, 0.5, 1.0)),
 }
 
@@ -29,7 +28,7 @@ SPACE = {
 def text_stages(text: str = "text", num_features: int = 1 << 16) -> list:
     """Words, hashed word counts and their inverse document weights as ``features``."""
     return [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=num_features),
         IDF(inputCol="_counts", outputCol="features"),
     ]
@@ -54,27 +53,22 @@ def train(df: DataFrame, params: Mapping | None = None, text: str | None = "text
     return Pipeline(stages=(text_stages(text) if text else []) + [head(params)]).fit(df)
 
 
-def predict(model: PipelineModel, df: DataFrame, names: Sequence[str], model_name: str) -> DataFrame:
-    """Add ``label`` and ``predicted_label`` by name and the name of the model that was used."""
-    scored = model.transform(df)
-    lookup = dict(enumerate(names))
-    keep = [c for c in df.columns if c not in ("label", "features")]
-    return scored.select(
-        *keep, decode_class(F.col("label_id"), lookup).alias("label"),
-        decode_class(best_class(vector_to_array("probability")), lookup).alias("predicted_label"),
-        F.lit(model_name).alias("model_name_or_path"),
-    )
+def class_table(df: DataFrame) -> DataFrame:
+    """``label_id`` and ``label`` of every class."""
+    return df.select("label_id", "label").distinct()
 
 
-def class_names(df: DataFrame) -> list[str]:
-    """Labels in the order of their ids, as the driver-side list a model is decoded by: one row per class.
+def predict(model: PipelineModel, df: DataFrame, classes: DataFrame, model_name: str) -> DataFrame:
+    """Add ``label`` and ``predicted_label`` by name and the name of the model that was used.
 
-    A model keeps weights per class on the driver, so a table with more than 1024 classes is an error.
+    ``classes`` has a row per class. The model keeps weights per class in memory, so that table is small beside it.
     """
-    rows = df.select("label", "label_id").distinct().orderBy("label_id").limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} classes")
-    return [r["label"] for r in rows]
+    keep = [c for c in df.columns if c not in ("label", "features")]
+    scored = model.transform(df).select(*keep, best_class(vector_to_array("probability")).alias("_predicted"))
+    names = F.broadcast(classes.select("label_id", "label"))
+    guessed = F.broadcast(classes.select(F.col("label_id").alias("_predicted"), F.col("label").alias("predicted_label")))
+    return scored.join(names, "label_id", "left").join(guessed, "_predicted", "left").select(
+        *keep, "label", "predicted_label", F.lit(model_name).alias("model_name_or_path"))
 
 
 def draw_params(n_trials: int, seed: int, space: Mapping = SPACE) -> list[dict]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.operators.prepare import seeded_hash
-from tallymark.operators.skew import bucket_counts, hash_rank
+from tallymark.operators.skew import bucket_counts, hash_rank, join_same, salted_lookup
 
 
 def pair_table(df: DataFrame, iterations: int = 1, seed: int = 42, key: str = "text_key", tie: str = "row_idx",
@@ -26,7 +26,7 @@ def pair_table(df: DataFrame, iterations: int = 1, seed: int = 42, key: str = "t
         "label", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"),
         F.sum("size").over(everything).alias("total"),
     )
-    line = hash_rank(hashed, "label", "_hash", tie, buckets.join(classes, "label")).select(
+    line = hash_rank(hashed, "label", "_hash", tie, join_same(buckets, classes, ["label"])).select(
         key, tie, "label", "size", "start", "total", (F.col("rank") - 1).alias("place")
     )
     turn = F.explode(F.sequence(F.lit(1), F.lit(iterations)))
@@ -42,4 +42,5 @@ def pair_table(df: DataFrame, iterations: int = 1, seed: int = 42, key: str = "t
         )).alias("_w"),
     ).select("row_1", "iteration", "_w.same", "_w.at")
     partners = line.select((F.col("start") + F.col("place")).alias("at"), F.col(tie).alias("row_2"))
-    return wanted.join(partners, "at").select("row_1", "row_2", "same", "iteration")
+    # A large class asks for the few places of a small one again and again, so places are looked up with salts.
+    return salted_lookup(wanted, partners, "at", "row_1", "inner").select("row_1", "row_2", "same", "iteration")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import clean_label
-from tallymark.operators.skew import HOT_SHARE, bucket_counts, hash_rank, salted_lookup, text_key
+from tallymark.operators.skew import bucket_counts, hash_rank, join_same, salted_lookup, text_key
 from tallymark.session import written
 
 SPLITS = ("train", "validation", "test")
@@ -22,15 +22,17 @@ def labelled(df: DataFrame, text: str = "text_original", keep: tuple[str, ...] =
 def keep_first(df: DataFrame, keep: tuple[str, ...], text: str = "text", order: str = "row_idx") -> DataFrame:
     """One row per text, the first by ``order``, with the columns of ``keep`` and its ``text_key`` and ``copies``.
 
-    An aggregate, not a window: copies of a text collapse before the shuffle, so a text that makes up a third of the
-    table reaches its reducer as one row per map task. The text travels only when ``keep`` names it.
+    A hash aggregate over short columns finds the first ``order`` value and the number of copies; copies of a text
+    collapse before the shuffle, so a text that makes up a third of the table reaches its reducer as one row per map
+    task. The other columns are then fetched by that value, which must be a key of the rows; the text travels only if ``keep`` names
+    it, and only for first copies.
     """
-    first = F.min_by(F.struct(*keep), F.col(order))
-    return (
-        df.groupBy(text_key(F.col(text)).alias("text_key"))
-        .agg(first.alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .select("text_key", "copies", "_first.*")
-    )
+    firsts = df.groupBy(text_key(F.col(text)).alias("text_key")).agg(
+        F.min(order).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    rest = [c for c in dict.fromkeys(keep) if c != order]
+    found = firsts if not rest else firsts.join(df.select(F.col(order).alias("_first"), *rest), "_first")
+    named = [F.col("_first").alias(order) if c == order else F.col(c) for c in dict.fromkeys(keep)]
+    return found.select("text_key", "copies", *named)
 
 
 def first_rows(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
@@ -89,12 +91,12 @@ def stratified_split(
     """Add ``split`` so that every class is spread over train, validation and test by the same shares, and ``label_id``.
 
     ``df`` holds one row per text. Rows are taken in the order of a seeded hash of their key, so the same rows always
-    land in the same split. The defaults give 20, 40 and 40 percent.
+    land in the same split. The defaults give 20, 40 and 40 percent. Rows without a label are a class of their own.
     """
     hashed = df.withColumn("_hash", seeded_hash(key, seed))
     buckets = bucket_counts(hashed, "label", "_hash")
     quotas = split_quotas(buckets.groupBy("label").agg(F.sum("_n").alias("n")), held_out, test_share)
-    ranked = hash_rank(hashed, "label", "_hash", tie, buckets.join(quotas.drop("n"), "label"))
+    ranked = hash_rank(hashed, "label", "_hash", tie, join_same(buckets, quotas.drop("n"), ["label"]))
     last_validation = F.col("n_train") + F.col("n_validation")
     split = (
         F.when(F.col("rank") <= F.col("n_train"), F.lit("train"))
@@ -114,21 +116,23 @@ def split_of(df: DataFrame, split: str) -> DataFrame:
 def look_up_split(df: DataFrame, splits: DataFrame, text: str = "text", spread_by: str = "row_idx") -> DataFrame:
     """Add the split of each row's text from the split table of ``keep_first`` and ``stratified_split``.
 
-    Only text keys are compared. The ``copies`` counts tell which texts are hot, so no extra scan is needed for that.
+    Only text keys are compared. Which texts are hot is counted on ``df`` itself, which need not be the table that the splits
+    were made from.
     """
-    total = splits.agg(F.sum("copies").alias("_total"))
-    hot = splits.join(F.broadcast(total)).where(F.col("copies") * HOT_SHARE > F.col("_total")).select("text_key")
     keyed = df.withColumn("text_key", text_key(F.col(text)))
-    return salted_lookup(keyed, splits.select("text_key", "split"), "text_key", spread_by, "left", hot)
+    return salted_lookup(keyed, splits.select("text_key", "split"), "text_key", spread_by, "left")
 
 
-def prepare(df: DataFrame, keep: tuple[str, ...] = ("row_idx", "filename"), seed: int = 42) -> DataFrame:
-    """From raw rows to one row per text: ``keep``, ``label``, ``label_id``, ``split``, ``text_key`` and ``copies``.
+def prepare(
+    df: DataFrame, keep: tuple[str, ...] = ("row_idx", "filename"), seed: int = 42, text: str = "text",
+) -> DataFrame:
+    """From raw rows to one row per text: ``keep``, ``label``, ``label_id``, ``split``, ``text_key`` and ``copies``. ``text`` names
+    the text column, such as ``text_original`` of stored pages.
 
     The first copies are stored before they are split: the texts are read and hashed once, and the counting and ranking
     that follow read only short columns of the stored table.
     """
     columns = tuple(dict.fromkeys((*keep, "row_idx", "label")))
     source = tuple(c for c in columns if c not in ("label", "text"))
-    firsts = written(df.sparkSession, keep_first(labelled(df, "text", source), columns), "first-copies")
+    firsts = written(df.sparkSession, keep_first(labelled(df, text, source), columns), "first-copies")
     return stratified_split(firsts, seed)

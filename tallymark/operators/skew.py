@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_SHARE = 256
-SALTS = 64
 _BUCKET_DIGITS = 4
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than 1/256 of all rows. By that rule there are fewer than 256 of them."""
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Keys that hold more than 1/``share`` of all rows, so fewer than ``share`` of them, and their ``_part`` of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.join(F.broadcast(total)).where(F.col("_n") * HOT_SHARE > F.col("_total")).select(key)
+    hot = counts.join(F.broadcast(total)).where(F.col("_n") * share > F.col("_total"))
+    return hot.select(key, (F.col("_n") / F.col("_total")).alias("_part"))
 
 
 def salted_lookup(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str, hot: DataFrame | None = None,
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str, share: int = HOT_SHARE,
 ) -> DataFrame:
     """Join ``left`` to the one row per key of ``right``.
 
-    Rows of a hot key are dealt out over 64 salts by their ``spread_by`` value, and the one matching row is copied to
-    each of them. All other keys join once. The hot list has fewer than 256 rows, so it is safe to broadcast.
+    Rows of a hot key are dealt out by their ``spread_by`` value, and the one matching row is copied to each salt. A key has as many
+    salts as shuffle partitions times its part of all rows, so each of its tasks has about as many rows as any other. All other
+    keys join once. The hot list has fewer than ``share`` rows, so it is safe to broadcast.
     """
-    hot = hot_keys(left, key) if hot is None else hot
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = (F.ceil(F.col("_part") * tasks) + 1).cast("int")
+    marked = F.broadcast(hot_keys(left, key, share).select(key, salts.alias("_salts")))
+    n = F.coalesce(F.col("_salts"), F.lit(1))
     dealt = left.join(marked, key, "left").withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+        "_salt", F.pmod(F.xxhash64(spread_by), n).cast("int")).drop("_salts")
+    copied = right.join(marked, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
     return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
+def join_same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, a null being equal to a null; the columns appear once."""
+    renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in columns})
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in columns])
+    return left.join(renamed, condition, how).drop(*[f"_same_{c}" for c in columns])
+
+
 def _bucketed(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("_bucket", F.substring(order, 1, _BUCKET_DIGITS))
 
@@ -57,7 +67,7 @@ def hash_rank(df: DataFrame, group: str, order: str, tie: str, buckets: DataFram
     inside = Window.partitionBy(group, "_bucket").orderBy(order, tie)
     return (
         _bucketed(df, order).withColumn("_place", F.row_number().over(inside))
-        .join(buckets.drop("_n"), [group, "_bucket"])
+        .transform(lambda d: join_same(d, buckets.drop("_n"), [group, "_bucket"]))
         .withColumn("rank", F.col("_place") + F.col("_before"))
         .drop("_bucket", "_place", "_before")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.fixed import DISPLAY_NAMES, FIELDS, MATCH_FIELDS, NO, OK, POSITIVE, SCORE_FIELDS, YES
+from tallymark.fixed import DISPLAY_NAMES, FIELDS, MATCH_FIELDS, NEGATIVE, NO, OK, POSITIVE, SCORE_FIELDS, YES
 from tallymark.functions import answers as A
 from tallymark.functions import records as R
 from tallymark.functions import scores as S
@@ -95,11 +95,25 @@ def page_name_parts(spark, sf):
     )
 
 
+@query
+def stored_page_splits(spark, sf):
+    """Pages written as JSON lines, read back, cleaned by the stripped text and split."""
+    path = scratch_path(spark, "stored-pages")
+    texts = inputs.texts(spark, sf).where("text IS NOT NULL")
+    record_files.write_records(texts.select(
+        F.col("row_idx").cast("string").alias("filename"), F.col("text").alias("text_original"),
+        X.stripped(F.col("text")).alias("text_stripped_empty_spaces"), "label", F.col("text").alias("context"),
+        R.empty_records().alias("criteria_info")), path)
+    pages = record_files.read_records(spark, path).withColumn("row_idx", F.col("filename").cast("long"))
+    return prepare.prepare(pages, ("row_idx",), SEED, "text_stripped_empty_spaces").select(
+        F.col("row_idx").alias("doc_id"), "label", "split")
+
+
 @query
 def extraction_store(spark, sf):
     """Store a scored run by model, prompt and label view, count what lies in every part."""
     path = scratch_path(spark, "extraction")
-    results.write_extraction(scoring.with_texts(_scored(spark, sf)), path, "vendor/model-a")
+    results.write_extraction(scoring.with_texts(_scored(spark, sf)), path, "vendor/model-a", PAGE_KEY)
     views = results.read_extraction(spark, path, "views")
     return views.groupBy("model", "prompt_id", "label_view").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("conversion_status") == OK).alias("n_ok"),
@@ -110,12 +124,10 @@ def extraction_store(spark, sf):
 
 @query
 def report_from_store(spark, sf):
-    """The record report of one prompt from stored results, reading that prompt's folder and two scores only."""
+    """The record report of one model from stored results, reading that model's folders and two scores only."""
     path = scratch_path(spark, "stored")
-    results.write_extraction(scoring.with_texts(_scored(spark, sf)), path, "vendor/model-a")
-    stored = results.read_extraction(spark, path).where(
-        (F.col("model") == "vendor/model-a") & (F.col("prompt_id") == "prompt_2")
-    )
+    results.write_extraction(scoring.with_texts(_scored(spark, sf)), path, "vendor/model-a", PAGE_KEY)
+    stored = results.read_extraction(spark, path).where(F.col("model") == "vendor/model-a")
     return reports.re_overview(stored)
 
 
@@ -150,7 +162,8 @@ def mode_filter(spark, sf):
 @query
 def parsed_rows(spark, sf):
     """Parsed answers of one prompt."""
-    parsed = _parsed(spark, sf).where((F.col("conversion_status") == OK) & (F.col("prompt_id") == "prompt_1"))
+    pages = inputs.with_truth(inputs.pages(spark, sf)).where(F.col("prompt_id") == "prompt_1")
+    parsed = with_parsed_answer(pages).where(F.col("conversion_status") == OK)
     return _page_rows(parsed, F.size("y_pred").alias("n_predicted"))
 
 
@@ -183,10 +196,10 @@ def binary_labels(spark, sf):
 def decoded_classes(spark, sf):
     """Class of the largest probability, and its name."""
     vectors = inputs.table(spark, sf, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("probability"))
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("probability"))
     best = A.best_class(F.col("probability"))
     return vectors.select(
-        "vec_id", best.alias("class_id"), A.decode_class(best, dict(enumerate("abcd"))).alias("class_name"))
+        "vec_id", best.alias("class_id"), A.decode_class(best, {k: f"class {k}" for k in range(64)}).alias("class_name"))
 
 
 @query
@@ -262,7 +275,7 @@ def nearest_labels(spark, sf):
     vectors = inputs.table(spark, sf, "embeddings")
     catalogue = label_catalogue(
         vectors.select(F.col("label").cast("string").alias("label"), "embedding", "vec_id"),
-        "label", "embedding", "vec_id")
+        "label", "embedding", "vec_id", [str(k) for k in range(10)])
     best = vectors.select("vec_id", nearest_label(F.col("embedding"), catalogue).alias("best"))
     return best.select("vec_id", F.col("best.label").alias("nearest"), F.round("best.score", 6).alias("score"))
 
@@ -270,9 +283,8 @@ def nearest_labels(spark, sf):
 @query
 def concatenated_texts(spark, sf):
     """Original and stripped texts as one table."""
-    rows = inputs.texts(spark, sf).select("row_idx", "label", "text")
-    stripped = rows.withColumn("text", X.stripped(F.col("text")))
-    return rows.unionByName(stripped).select(
+    both = F.explode(F.array("text", X.stripped(F.col("text")))).alias("text")
+    return inputs.texts(spark, sf).select("row_idx", "label", both).select(
         F.col("row_idx").alias("doc_id"), "label", F.length("text").alias("text_length"))
 
 
@@ -311,7 +323,7 @@ def answer_labels_fallback(spark, sf):
     named = vectors.select(
         F.when(F.col("label") == 0, F.lit(YES)).when(F.col("label") == 1, F.lit(NO)).alias("label"),
         "embedding", "vec_id").where(F.col("label").isNotNull())
-    catalogue = label_catalogue(named, "label", "embedding", "vec_id")
+    catalogue = label_catalogue(named, "label", "embedding", "vec_id", (YES, NO))
     answers = inputs.answers(spark, sf).join(
         vectors.select(F.col("vec_id").alias("conv_id"), "embedding"), "conv_id", "left")
     nearest = nearest_label(F.col("embedding"), catalogue)["label"]
@@ -426,8 +438,7 @@ def span_scores_rows(spark, sf):
 @query
 def json_pair_f1(spark, sf):
     """Key-value F1 of the annotated and the predicted record of a line."""
-    lines = inputs.lines(spark, sf).where(F.col("found").isNotNull())
-    scored = lines.select("l_orderkey", S.pair_scores(F.col("truth"), F.col("found")).alias("s"))
+    scored = inputs.lines(spark, sf).select("l_orderkey", S.pair_scores(F.col("truth"), F.col("found")).alias("s"))
     return scored.select("l_orderkey", "s.*")
 
 
@@ -456,6 +467,8 @@ def class_report(spark, sf):
     """A4: report table of presence detection per prompt, recall rows corrected and as older tables had them."""
     binary = inputs.pages(spark, sf).select(
         "prompt_id", A.is_positive(F.col("label")).alias("t"), A.is_positive(F.col("label_predicted")).alias("p"))
+    # Both reports come from one stored table of counts per prompt and pair of classes, read once each.
+    binary = written(spark, binary, "binary")
     right = metrics.report(binary, "t", "p", ("prompt_id",)).withColumnRenamed("score", "score_right")
     compat = metrics.report(binary, "t", "p", ("prompt_id",), compat=True).withColumnRenamed("score", "score_compat")
     return right.join(compat, ["prompt_id", "Metric"])
@@ -618,7 +631,7 @@ def train_predict(spark, sf):
     rows = _training_rows(spark, sf)
     model = classify.train(_split(rows, "train"), {"reg_param": 0.01})
     found = classify.predict(
-        model, rows.where(F.col("split") != "train"), classify.class_names(rows), "hashed-words+logistic")
+        model, rows.where(F.col("split") != "train"), classify.class_table(rows), "hashed-words+logistic")
     return found.select(F.col("row_idx").alias("doc_id"), "split", "label", "predicted_label", "model_name_or_path")
 
 
@@ -632,7 +645,7 @@ def vector_classifier(spark, sf):
     rows = classify.vector_features(rows, "embedding")
     model = classify.train(_split(rows, "train"), {"reg_param": 0.01}, text=None)
     found = classify.predict(
-        model, rows.where(F.col("split") != "train"), classify.class_names(rows), "embedding+logistic")
+        model, rows.where(F.col("split") != "train"), classify.class_table(rows), "embedding+logistic")
     return metrics.long_metrics(metrics.wide_metrics(found, "label", "predicted_label", ("split",)), ("split",))
 
 
@@ -641,20 +654,36 @@ def param_search(spark, sf):
     """M5: seeded random search, best macro F1 on validation, metrics of the chosen model on test."""
     rows = _training_rows(spark, sf)
     model, best, _ = classify.search(_split(rows, "train"), _split(rows, "validation"), n_trials=3, seed=SEED)
-    found = classify.predict(model, _split(rows, "test"), classify.class_names(rows), "hashed-words+logistic")
+    found = classify.predict(model, _split(rows, "test"), classify.class_table(rows), "hashed-words+logistic")
     return metrics.long_metrics(metrics.wide_metrics(found, "label", "predicted_label")).select(
         "metric", "score", F.lit(best["max_iter"]).alias("max_iter"), F.lit(best["reg_param"]).alias("reg_param"))
 
 
+@query
+def search_trials(spark, sf):
+    """M5: every trial of the search: whether its parameters lie in their ranges and whether it has a score."""
+    rows = _training_rows(spark, sf)
+    _, _, trials = classify.search(_split(rows, "train"), _split(rows, "validation"), n_trials=3, seed=SEED)
+    low, high = classify.SPACE["reg_param"][1:]
+    return spark.createDataFrame(
+        [(t["trial"], low <= t["reg_param"] <= high, 0 <= t["macro_f1"] <= 1) for t in trials],
+        "trial int, in_range boolean, has_score boolean")
+
+
 @query
 def saved_model(spark, sf):
-    """Predictions of a model that was saved and loaded."""
+    """Predictions of a model that was saved and loaded, and whether they are those of the model itself."""
     rows = _training_rows(spark, sf)
     path = scratch_path(spark, "models")
-    classify.save_model(classify.train(_split(rows, "train")), path, "criteria_relevance", "hashed/words")
-    model = classify.load_model(path, "criteria_relevance", "hashed/words")
-    found = classify.predict(model, _split(rows, "test"), classify.class_names(rows), "hashed/words")
-    return found.select(F.col("row_idx").alias("doc_id"), "label", "predicted_label", "model_name_or_path")
+    trained = classify.train(_split(rows, "train"), {"reg_param": 0.01})
+    classify.save_model(trained, path, "criteria_relevance", "hashed/words")
+    loaded = classify.load_model(path, "criteria_relevance", "hashed/words")
+    found, again = (
+        classify.predict(m, _split(rows, "test"), classify.class_table(rows), "hashed/words") for m in (trained, loaded))
+    pairs_of = found.join(again.select("row_idx", F.col("predicted_label").alias("_again")), "row_idx")
+    return pairs_of.select(
+        F.col("row_idx").alias("doc_id"), "label", "model_name_or_path",
+        F.col("predicted_label").eqNullSafe(F.col("_again")).alias("same"))
 
 
 @query
@@ -669,10 +698,32 @@ def generated_answers(spark, sf):
 def extraction_run(spark, sf):
     """Labelled documents from prompts to the reports. The answers are stored before two
     reports read them, so that the generator runs once."""
+    letters = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
+    name, points = (F.lit("kriterium"), F.lit("Preis")), (F.lit("maxPunkte"), F.length("text").cast("string"))
+    truth = F.when(letters % 3 == 1, F.array(F.create_map(*name))) \
+        .when(letters % 3 == 2, F.array(F.create_map(*name, *points))).otherwise(R.empty_records())
     docs = inputs.texts(spark, sf).select(
-        "row_idx", X.clean_label(F.col("label")).alias("label"), F.col("text").alias("context"),
-        F.array(F.create_map(F.lit("kriterium"), F.regexp_extract("text", "^([A-Za-z0-9]+)", 1))).alias("y_true"))
+        "row_idx", X.clean_label(F.col("label")).alias("label"), F.col("text").alias("context"), truth.alias("y_true"))
     found = prompting.apply_prompts(docs, prompting.stub_generate, keep=("row_idx", "label", "y_true"))
     found = written(spark, found, "answers")
     scored = scoring.with_scores(found.withColumn("y_true", R.normalized(F.col("y_true"))))
     return reports.merged(reports.re_overview(scored), reports.formatting_overview(scored))
+
+
+@query
+def presence_fallback(spark, sf):
+    """Presence answers of which a third says neither yes nor no; their class is that of the nearest word."""
+    docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("context"))
+    found = prompting.apply_prompts(
+        docs, prompting.PerTask(prompting.stub_model), "prompt_1", presence_prompt="presence_1",
+        embed_fn=prompting.PerTask(prompting.stub_encoder))
+    return found.select(F.col("row_idx").alias("doc_id"), "label_predicted")
+
+
+@query
+def formatting_by_mode(spark, sf):
+    """Parsed and failed prompts over all pages and over the pages of each class."""
+    parsed = written(spark, _parsed(spark, sf).select("label", "prompt_id", "conversion_status"), "parsed")
+    modes = {"all": parsed, "with": parsed.where(F.col("label") == POSITIVE), "without": parsed.where(F.col("label") == NEGATIVE)}
+    frames = [reports.parsed_prompts(df).withColumn("mode", F.lit(mode)) for mode, df in modes.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])

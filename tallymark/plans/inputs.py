@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.records import normalized
-from tallymark.session import spread_small
 
 # One row of lineitem is one page with up to three annotated records and one model answer. Nothing is grouped.
 PAGES_SQL = """
@@ -109,7 +108,13 @@ FROM conversations WHERE role = 'assistant'
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A test table. ``spark.tallymark.inputPartitions`` deals its rows over so many partitions; off unless set.
+
+    A one-file table is one task whatever the number of cores, so the bench sets it and prints it.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    parts = spark.conf.get("spark.tallymark.inputPartitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def _select(spark: SparkSession, sf: str, sql: str) -> DataFrame:

@@ -6,13 +6,13 @@ fault on the Spark side shows up as a mismatch.
 
 from __future__ import annotations
 
-from tallymark.fixed import DISPLAY_NAMES, FIELDS, MATCH_FIELDS, SCORE_FIELDS
+from tallymark.fixed import DISPLAY_NAMES, FIELD_TITLES, FIELDS, MATCH_FIELDS, SCORE_FIELDS
 from tallymark.operators.metrics import COMPAT_RECALL, METRICS, REPORT_ROWS
 from tallymark.plans.inputs import ANSWERS_SQL, LINES_SQL, ORDERS_SQL, PAGES_SQL, TEXTS_SQL
 from tallymark.sources.prompts import PROMPTS
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-TITLES = ("Zuschlagskriteriumnummer", "Zuschlagskriterium", "Gewichtung", "Maximalpunkte")
+TITLES = tuple(FIELD_TITLES[f] for f in FIELDS)
 
 
 def _quoted(text: str) -> str:
@@ -243,6 +243,12 @@ splits AS (
     ELSE 'test' END AS split FROM ranked r JOIN quotas USING (label))"""
 
 
+def _splits_of_stripped() -> str:
+    text = _STRIPPED.format("text")
+    return _SPLITS.replace("SELECT doc_id, filename, text, ", f"SELECT doc_id, filename, {text} AS text, ").replace(
+        "sha256(text) AS text_key", f"sha256({text}) AS text_key")
+
+
 def _side_by_side() -> str:
     return (
         f"{_SPLITS}, {_metric_sql('splits', 'label', 'label_predicted', 'split')}, long AS ({_unpivot('split')}) "
@@ -365,29 +371,47 @@ SELECT x.doc_id, y.doc_id, CAST(0 AS INT), CAST(iteration AS INT)
 FROM line x, turns JOIN apart y ON y.label = x.label AND y.at = (x.place + iteration) % (x.total - x.size)"""
 
 
+_LETTERS = "(length(page) - length(replace(page, 'e', '')))"
 _STUB = """
-asked AS (SELECT doc_id AS row_id, {keep} text AS page, prompt_id FROM {source}, (VALUES {names}) v(prompt_id)),
-stub AS (SELECT *, CASE WHEN prompt_id = 'presence_1'
-    THEN CASE WHEN length(page) % 2 = 0 THEN 'Ja.' ELSE ' Nein' || chr(10) END
-    ELSE '[{{"kriterium": "' || regexp_extract(trim(regexp_replace(left(page, 40), '[^A-Za-z0-9 ]', '', 'g')), '^[^ ]*')
-      || '", "maxPunkte": "' || length(page) || ' P"}}]' END AS answer FROM asked)"""
+asked AS (SELECT doc_id AS row_id, {keep} text AS page, prompt_id, k FROM {source}, (VALUES {names}) v(prompt_id, k)),
+stub AS (SELECT *, {letters} AS n_e, CASE WHEN prompt_id = 'presence_1'
+    THEN CASE length(page) % 3 WHEN 0 THEN 'Ja.' WHEN 1 THEN ' Nein' || chr(10) ELSE 'Unklar: ' || page END
+    ELSE CASE ({letters} + k) % 5 WHEN 0 THEN '[{{"kriterium": "Preis", "maxPunkte": "' || length(page) || ' P"}}]'
+      WHEN 1 THEN '[{{"kriterium": "Preis"}}]' WHEN 2 THEN '[]' WHEN 3 THEN 'Keine Angabe.'
+      ELSE '[{{"kriterium": "Preis"}}, {{"kriterium": "Zusatz", "maxPunkte": "10"}}]' END END AS answer FROM asked)"""
 
 
 def _stub(source: str, keep: str, ids) -> str:
-    return _STUB.format(source=source, keep=keep, names=", ".join(f"('{i}')" for i in ids))
+    places = {p.prompt_id: k for k, p in enumerate(PROMPTS)}
+    names = ", ".join(f"('{i}', {places[i]})" for i in ids)
+    return _STUB.format(source=source, keep=keep, names=names, letters=_LETTERS)
+
+
+def _presence_fallback() -> str:
+    """Nearest of two words by the cosine of letter counts: ja is (j 1, a 1, one), nein (n 2, e 1, one)."""
+    def count(c: str) -> str:
+        return f"CAST(length(a) - length(replace(a, '{c}', '')) AS DOUBLE)"
+    return f"""WITH {_stub('documents', '', ['presence_1'])}, said AS (SELECT row_id, answer AS a FROM stub),
+counted AS (SELECT row_id, a, {count('j')} AS j, {count('n')} AS n, {count('a')} AS x, {count('e')} AS e FROM said)
+SELECT row_id AS doc_id, CASE WHEN a = 'Ja.' THEN 'has_criteria' WHEN a = ' Nein' || chr(10) THEN 'has_no_criteria'
+  WHEN (j + x + 1) / sqrt(3.0) >= (2 * n + e + 1) / sqrt(6.0) THEN 'has_criteria' ELSE 'has_no_criteria' END AS label_predicted
+FROM counted"""
 
 
 def _extraction_run() -> str:
     ids = [p.prompt_id for p in PROMPTS if p.purpose == "extract"]
-    truth = "regexp_extract(page, '^([A-Za-z0-9]+)', 1)"
+    name, points = "'kriterium-Preis__'", "'kriterium-Preis__maxPunkte-' || length(page) || '__'"
+    truth = f"CASE n_e % 3 WHEN 1 THEN [{name}] WHEN 2 THEN [{points}] ELSE []::VARCHAR[] END"
+    found = (f"CASE (n_e + k) % 5 WHEN 0 THEN [{points}] WHEN 1 THEN [{name}] "
+             f"WHEN 4 THEN [{name}, 'kriterium-Zusatz__maxPunkte-10__'] ELSE []::VARCHAR[] END")
     return f"""WITH texts AS ({TEXTS_SQL}), named AS (SELECT *, replace(label, '?', '') AS lab FROM texts),
 {_stub('named', 'lab AS label,', ids)},
-counted AS (
-  SELECT *, CASE WHEN {truth} = '' THEN 0.0 ELSE 1.0 END AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS i FROM stub),
+counted AS (SELECT *, {_counts(truth, found)} FROM stub),
 scored AS (SELECT *, {_score_columns()} FROM counted),
 tagged AS ({_presence('scored')})
 SELECT {_PROMPT} AS "Prompt", presence AS "Criteria Presence", round(avg(f1_macro) * 100, 2) AS "Macro-F1",
-  round(avg(f1_micro) * 100, 2) AS "Micro-F1", CAST(count(*) AS BIGINT) AS "Successful", CAST(0 AS BIGINT) AS "Failed"
+  round(avg(f1_micro) * 100, 2) AS "Micro-F1", CAST(count(*) FILTER ((n_e + k) % 5 <> 3) AS BIGINT) AS "Successful",
+  CAST(count(*) FILTER ((n_e + k) % 5 = 3) AS BIGINT) AS "Failed"
 FROM tagged GROUP BY ALL"""
 
 
@@ -412,7 +436,7 @@ def build() -> dict[str, str]:
             CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT failed) AS BIGINT) AS n_ok,
             CAST(sum(length(y_true_as_string)) AS BIGINT) AS true_chars,
             CAST(sum(length(y_pred_as_string)) AS BIGINT) AS pred_chars FROM views GROUP BY ALL""",
-        "report_from_store": _re_report(_RECORD_SCORES, two, "WHERE prompt_id = 'prompt_2'"),
+        "report_from_store": _re_report(_RECORD_SCORES, two),
         "classifier_store": _side_by_side(),
         "clean_labels": f"""WITH texts AS ({TEXTS_SQL}) SELECT doc_id, filename, replace(label, '?', '') AS label,
             CAST(length(text) AS INT) AS text_length FROM texts WHERE label IS NOT NULL""",
@@ -428,9 +452,8 @@ def build() -> dict[str, str]:
         "binary_labels": _simple_pages(
             f"{KEY}, CAST(CASE WHEN label = 'has_criteria' THEN 1 ELSE 0 END AS INT) AS y_true, "
             "CAST(CASE WHEN label_predicted = 'has_criteria' THEN 1 ELSE 0 END AS INT) AS y_pred"),
-        "decoded_classes": """WITH v AS (SELECT vec_id, embedding[1:4] AS p FROM embeddings),
-            b AS (SELECT vec_id, list_position(p, list_max(p)) - 1 AS c FROM v)
-            SELECT vec_id, CAST(c AS INT) AS class_id, substr('abcd', CAST(c AS INT) + 1, 1) AS class_name FROM b""",
+        "decoded_classes": """WITH b AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS c FROM embeddings)
+            SELECT vec_id, CAST(c AS INT) AS class_id, concat('class ', c) AS class_name FROM b""",
         "display_names": _simple_pages(f"{KEY}, {_PROMPT} AS prompt_name"),
         "parsed_flags": """SELECT doc_id, ['yes', 'No', 'TRUE', 'f', '1', '0', 'y'][doc_id % 8 + 1] AS word,
             [true, false, true, false, true, false, true][doc_id % 8 + 1] AS flag FROM documents""",
@@ -481,8 +504,19 @@ def build() -> dict[str, str]:
         "json_pair_f1": f"""WITH lines AS ({LINES_SQL}), n AS (SELECT *, 4.0::DOUBLE AS nt,
             CASE WHEN pge IS NULL THEN 3.0 ELSE 4.0 END::DOUBLE AS ng,
             (2 + CASE WHEN kr = pkr THEN 1 ELSE 0 END + CASE WHEN pge IS NULL THEN 0 ELSE 1 END)::DOUBLE AS h
-            FROM lines WHERE predicted), pr AS (SELECT l_orderkey, h / ng AS precision, h / nt AS recall FROM n)
-            SELECT l_orderkey, precision * recall * 2 / (precision + recall) AS f1, precision, recall FROM pr""",
+            FROM lines), pr AS (SELECT l_orderkey, CASE WHEN predicted THEN h / ng ELSE 0.0::DOUBLE END AS precision,
+            CASE WHEN predicted THEN h / nt ELSE 0.0::DOUBLE END AS recall FROM n)
+            SELECT l_orderkey, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE
+            ELSE precision * recall * 2 / (precision + recall) END AS f1, precision, recall FROM pr""",
+        "stored_page_splits": f"{_splits_of_stripped()} SELECT doc_id, label, split FROM splits",
+        "search_trials": "SELECT CAST(t AS INT) AS trial, true AS in_range, true AS has_score FROM range(3) r(t)",
+        "saved_model": f"""{_SPLITS} SELECT doc_id, label, 'hashed/words' AS model_name_or_path, true AS same
+            FROM splits WHERE split = 'test'""",
+        "presence_fallback": _presence_fallback(),
+        "formatting_by_mode": f"""{_WITH_PAGES} SELECT DISTINCT label_view, prompt_id, mode FROM clean,
+            (VALUES ('None'), ('zkNummer'), ('kriterium'), ('gewichtung'), ('maxPunkte')) v(label_view),
+            (VALUES ('all', NULL), ('with', 'has_criteria'), ('without', 'has_no_criteria')) m(mode, c)
+            WHERE NOT failed AND (c IS NULL OR label = c)""",
         "label_counts": f"{_SPLITS} SELECT split, label, CAST(count(*) AS BIGINT) AS count FROM splits GROUP BY ALL",
         "label_ids": f"{_SPLITS} SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS label_id FROM "
                      "(SELECT DISTINCT label FROM named)",

@@ -46,12 +46,3 @@ def written(spark: SparkSession, df, name: str, partition_by: tuple[str, ...] =
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def spread_small(df):
-    """Deal out a scan of less than eight splits, such as one small file, over the session's cores.
-
-    A row group is read by one task, so the work per row on a small file would otherwise run on one core. Eight splits
-    are about a gigabyte at most; a scan of a larger table has work for many tasks and is left as it is.
-    """
-    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, 8 * splits)) if splits < min(cores, 8) else df

@@ -6,6 +6,7 @@ import re
 import unicodedata
 import warnings
 
+from tallymark.fixed import ANSWER_REPLACEMENTS, INNER_LIST
 from tallymark.functions.parse import with_parsed_answer
 
 PIECES = [
@@ -13,7 +14,7 @@ PIECES = [
     "-5", "0", "NaN", '"kriterium"', "'kriterium'", '"maxPunkte"', "'zkNummer'", '"ZK 1.1"', "'40 %'", '"a\'b"', "'a\"b'",
     '"ä€"', '"٣ P"', '"x\\ty"', '""', "''", '"{"', "'[1]'", "[{", "}]", "}, {", '": "', "] ]", "]]", "Text", "\r", "\x0b", "u",
     '{"kriterium": "A"}', "{'maxPunkte': 5}", '{"kriterium": "A", "kriterium": "B"}', '{"a": {"b": "c"}}', '["x", {"y": "z"}]',
-    '{"gewichtung": "30%", "maxPunkte": ""}', "'{\"a\":\"1\"}'", "{}", "[]", "...", " ", " ", "()", "(1,)", "{'s'}",
+    '{"gewichtung": "30%", "maxPunkte": ""}', "'{\"a\":\"1\"}'", "b''", "0j", "set()", "{}", "[]", "...", " ", " ", "()", "(1,)", "{'s'}",
 ]
 SHAPES = ["[{%s}]", "[{%s}, {%s}]", "%s", "x %s [%s] y", '[{"kriterium": %s, "maxPunkte": %s}]', "[%s]", "[{'a': '%s'}]"]
 
@@ -24,9 +25,10 @@ def is_number(ch):
 
 def plain(answer):
     """Status and records of one answer."""
-    text = answer.replace("`", "").replace("null", "''").replace("-\n", "").replace("\n", " ")
-    text = text.replace("] ]", "]").replace("]]", "]")
-    found = re.search(r"\[[^\[\]]*\]", text)
+    text = answer
+    for old, new in ANSWER_REPLACEMENTS:
+        text = text.replace(old, new)
+    found = re.search(INNER_LIST, text)
     try:
         items = [x for x in ast.literal_eval(found.group(0) if found else text) if isinstance(x, dict)]
     except Exception:

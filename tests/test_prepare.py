@@ -149,3 +149,27 @@ def test_pairs(spark):
 def test_pairs_of_a_single_class(spark):
     df = spark.createDataFrame([("x", 1, "a")], "text_key string, row_idx long, label string")
     assert [tuple(r) for r in pairs.pair_table(df).collect()] == [(1, 1, 1, 1)]
+
+
+def test_rows_without_a_class_are_a_class(spark):
+    rows = spark.createDataFrame([(i, str(i), None if i % 5 == 0 else "a") for i in range(20)], "row_idx int, text_key string, label string")
+    got = prepare.stratified_split(rows).collect()
+    assert sorted(r["row_idx"] for r in got) == list(range(20))
+
+
+def test_a_hot_unlabelled_text_is_spread(spark):
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"t{i}") for i in range(3000)], "row_idx int, text string")
+    splits = spark.createDataFrame([("x", "train")], "text string, split string").select(
+        skew.text_key(F.col("text")).alias("text_key"), "split")
+    got = prepare.look_up_split(df, splits)
+    assert got.count() == 3000
+    hot = skew.hot_keys(df, "text").collect()
+    assert [r["text"] for r in hot] == ["hot"] and 0.6 < hot[0]["_part"] < 0.7
+
+
+def test_pairs_of_uneven_classes(spark):
+    from tallymark.operators import pairs
+
+    rows = spark.createDataFrame([(i, str(i), "b" if i == 7 else "a") for i in range(2000)], "row_idx int, text_key string, label string")
+    got = pairs.pair_table(rows).where("same = 0").collect()
+    assert len(got) == 2000 and {r["row_2"] for r in got if r["row_1"] != 7} == {7}

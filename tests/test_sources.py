@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.operators import prompting, scoring
-from tallymark.session import build_session, scratch_path, spread_small, written
+from tallymark.session import build_session, scratch_path, written
 from tallymark.sources import pages, records, results
 from tallymark.sources.prompts import PROMPTS, select_prompts
 
@@ -77,14 +77,16 @@ def scored_rows(spark):
 
 def test_extraction_store_replaces_only_its_parts(spark, tmp_path):
     path, df = str(tmp_path / "run"), scored_rows(spark)
-    results.write_extraction(df, path, "vendor/m")
-    results.write_extraction(df.where("prompt_id = 'prompt_1'"), path, "vendor/m")
-    results.write_extraction(df, path, "other")
+    key = ("filename",)
+    df = df.withColumn("context", F.lit("page text"))
+    results.write_extraction(df, path, "vendor/m", key)
+    results.write_extraction(df.where("prompt_id = 'prompt_1'"), path, "vendor/m", key)
+    results.write_extraction(df, path, "other", key)
     stored = results.read_extraction(spark, path)
     assert sorted((r["model"], r["prompt_id"], r["filename"]) for r in stored.collect()) == sorted(
         (m, p, f) for m in ("vendor/m", "other") for f, p in (("a", "prompt_1"), ("b", "prompt_1"), ("c", "prompt_2")))
     views = results.read_extraction(spark, path, "views")
-    assert views.where("model = 'other' AND filename = 'a'").count() == 5
+    assert views.where("model = 'other' AND filename = 'a'").count() == 5 and "context" not in views.columns
     row = views.where("model = 'other' AND filename = 'a' AND label_view = 'gewichtung'").first()
     assert row["y_true_as_string"] == "Gewichtung ist . "
     overview = results.read_extraction(spark, path, "overview").where("model = 'other'")
@@ -121,26 +123,47 @@ def test_scratch_folder_comes_from_the_session(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(0, "x"), (1, "x"), (2, "x")]
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
 
-    class Conf:
-        def get(self, key, default=None):
-            return str(tmp_path) + "/" if key == "spark.checkpoint.dir" else default
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert scratch_path(spark, "name").startswith(f"{shared}/tallymark-")
 
-    class Session:
-        conf = Conf()
 
-    assert scratch_path(Session(), "name").startswith(f"{tmp_path}/name-")
+def test_rows_are_dealt_out_only_where_the_session_says_so(spark, tmp_path):
+    from tallymark.plans import inputs
 
-    class Cluster:
-        conf = type("C", (), {"get": staticmethod(lambda key, default=None: None)})()
-        sparkContext = type("S", (), {"master": "yarn"})()
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert inputs.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 1
+    spark.conf.set("spark.tallymark.inputPartitions", "3")
+    try:
+        assert inputs.table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.tallymark.inputPartitions")
+    assert build_session("again").sparkContext is spark.sparkContext
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Cluster(), "name")
 
+def test_filters_prune_below_the_exact_parse(spark, tmp_path):
+    from tallymark.functions.parse import with_parsed_answer
 
-def test_small_scans_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread_small(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    wide = spark.range(10, numPartitions=cores * 2)
-    assert spread_small(wide) is wide
-    assert build_session("again").sparkContext is spark.sparkContext
+    rows = spark.createDataFrame([("m", "p1", "[1]"), ("m", "p2", "[{'a': 1}]")], "model string, prompt_id string, answer string")
+    rows.write.partitionBy("model", "prompt_id").parquet(f"{tmp_path}/runs")
+    parsed = with_parsed_answer(spark.read.parquet(f"{tmp_path}/runs"), "answer").where("prompt_id = 'p2'")
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prompt_id" in plan
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r["prompt_id"] for r in parsed.collect()] == ["p2"]
+
+
+def test_presence_fallback_and_factories(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, None)], "row_idx int, context string")
+    made = []
+
+    def model():
+        made.append(1)
+        return lambda xs: ["weiß nicht nnn" if "Ja oder" in x and "bb" in x else "weiß ja" if "Ja oder" in x else "[]" for x in xs]
+
+    found = prompting.apply_prompts(
+        df, prompting.PerTask(model), "prompt_1", embed_fn=prompting.PerTask(prompting.stub_encoder), presence_prompt="presence_1")
+    assert {r["row_idx"]: r["label_predicted"] for r in found.collect()} == {
+        1: "has_criteria", 2: "has_no_criteria", 3: "has_criteria"}
+    assert not made  # made in the tasks, not here
+    with pytest.raises(ValueError, match="presence prompt"):
+        prompting.apply_prompts(df, prompting.stub_generate, presence_prompt="none")
