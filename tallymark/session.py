@@ -43,6 +43,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(spark: SparkSession, df, name: str, partition_by: tuple[str, ...] = ()):
     """Cut the lineage of ``df``: write it to the shared folder once and read it back."""
     path = scratch_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
