@@ -39,7 +39,7 @@ RARE_CLASSES = 512
 STATES = 4
 ROUNDS = 3
 SEED = 42
-TOKENS_TOGETHER = 2_000_000
+TOKENS_TOGETHER = 1_000_000
 TEXTS_TOGETHER = 512
 STEPS_TOGETHER = 1 << 17
 _SMOOTH = 0.01
@@ -128,11 +128,11 @@ def _encoded(spark: SparkSession, source: DataFrame, vocabulary: Vocabulary) ->
     shared = spark.sparkContext.broadcast(vocabulary)
     schema = (
         "kind string, doc_id bigint, row bigint, held_out boolean, n_tokens bigint, frequent bigint, frequent_log double, "
-        "classes binary, word string, class int, rows array<bigint>, times array<int>")
+        "classes binary, word string, class int, rows array<int>, times array<int>")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, number = shared.value, TaskContext.get().partitionId() << 40
+        vocabulary, base, number = shared.value, TaskContext.get().partitionId() << 40, 0
         hashes, words, classes, rows, times, kept = [], [], [], [], [], 0
         for part in _parts(batches):
             ids = part.column(0).to_pylist()
@@ -147,10 +147,10 @@ def _encoded(spark: SparkSession, source: DataFrame, vocabulary: Vocabulary) ->
                 np.append(own[batch.first[k]: batch.first[k + 1]], 0).astype("<u2").tobytes() for k in range(n)]
             none = lambda kind: pa.nulls(n, kind)
             yield pa.RecordBatch.from_arrays([
-                pa.array(["text"] * n), pa.array(ids, pa.int64()), pa.array(number + np.arange(n)), pa.array(held_out(ids)),
+                pa.array(["text"] * n), pa.array(ids, pa.int64()), pa.array(base + number + np.arange(n)), pa.array(held_out(ids)),
                 pa.array(batch.counts + 1), pa.array(np.bincount(row[~rare], minlength=n).astype(np.int64)),
-                pa.array(np.bincount(row, weights=logs, minlength=n)), pa.array(sequences, pa.binary()), none(pa.string()),
-                none(pa.int32()), none(pa.list_(pa.int64())), none(pa.list_(pa.int32()))], names)
+                pa.array(np.bincount(row, weights=logs, minlength=n).astype(np.float64)), pa.array(sequences, pa.binary()), none(pa.string()),
+                none(pa.int32()), none(pa.list_(pa.int32())), none(pa.list_(pa.int32()))], names)
             at = np.flatnonzero(rare)
             if len(at):
                 order = at[np.lexsort((row[at], every[at]))]
@@ -164,15 +164,16 @@ def _encoded(spark: SparkSession, source: DataFrame, vocabulary: Vocabulary) ->
                 kept += len(cut)
             number += n
             if kept >= TOKENS_TOGETHER:
-                yield _postings(hashes, words, classes, rows, times, names)
+                yield _postings(base, hashes, words, classes, rows, times, names)
                 hashes, words, classes, rows, times, kept = [], [], [], [], [], 0
         if kept:
-            yield _postings(hashes, words, classes, rows, times, names)
+            yield _postings(base, hashes, words, classes, rows, times, names)
 
     return written(spark, source.select("id", "text").mapInArrow(task, schema), "encoded")
 
 
-def _postings(hashes, words, classes, rows, times, names) -> pa.RecordBatch:
+def _postings(base, hashes, words, classes, rows, times, names) -> pa.RecordBatch:
+    """One row per word; its ``row`` is the task's base number, to which the numbers in ``rows`` are added."""
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
@@ -180,11 +181,11 @@ def _postings(hashes, words, classes, rows, times, names) -> pa.RecordBatch:
     n = len(first)
     none = lambda kind: pa.nulls(n, kind)
     return pa.RecordBatch.from_arrays([
-        pa.array(["word"] * n), *[none(k) for k in (
-            pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())],
+        pa.array(["word"] * n), none(pa.int64()), pa.array(np.full(n, base)), *[none(k) for k in (
+            pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())],
         pa.concat_arrays(words).take(pa.array(order[first])),
         pa.array(np.concatenate(classes)[order[first]], pa.int32()),
-        pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rows)[order])),
+        pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(rows)[order].astype(np.int32))),
         pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(times)[order].astype(np.int32))),
     ], names)
 
@@ -322,10 +323,10 @@ def scored(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     texts = encoded.where("kind = 'text'")
 
     # Counts of the rare words met, with their class, and the class totals.
-    postings = encoded.where("kind = 'word'").select("word", "class", "rows", "times")
-    joined = postings.join(counts, "word", "left").select("class", "rows", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    each = joined.select("class", "c", F.explode(F.arrays_zip("rows", "times")).alias("e")).select(
-        "class", F.col("e.rows").alias("row"), F.col("e.times").alias("n"), "c")
+    postings = encoded.where("kind = 'word'").select("word", "class", F.col("row").alias("base"), "rows", "times")
+    joined = postings.join(counts, "word", "left").select("class", "base", "rows", "times", F.coalesce("c", F.lit(0)).alias("c"))
+    each = joined.select("class", "c", "base", F.explode(F.arrays_zip("rows", "times")).alias("e")).select(
+        "class", (F.col("base") + F.col("e.rows")).alias("row"), F.col("e.times").alias("n"), "c")
     totals = np.zeros((2, RARE_CLASSES))
     for row in _class_totals(counts, vocabulary).toLocalIterator():
         totals[:, row["class"] - vocabulary.first_rare] = row["c"], row["v"]

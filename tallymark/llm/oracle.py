@@ -25,7 +25,7 @@ parts AS (
   FROM pages
 ), hits AS (
   SELECT p.page_id, t.term, t.w, t.strict, len(list_filter(
-    string_split(regexp_replace(lower(p.url), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x = t.term)) AS n
+    string_split(regexp_replace(lower(p.url), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x = t.term)) AS n
   FROM parts p, terms t
 ), sums AS (
   SELECT page_id, CAST(coalesce(sum(n) FILTER (strict), 0) AS BIGINT) AS strict_hits,
@@ -33,7 +33,7 @@ parts AS (
   FROM hits GROUP BY page_id
 ), judged AS (
   SELECT parts.page_id, host, path, CASE {rules} END AS site, strict_hits, soft_hits,
-    CASE WHEN ws IS NULL THEN 0.0::DOUBLE ELSE list_reduce(ws, (a, b) -> a + b)::DOUBLE END AS weight
+    CASE WHEN ws IS NULL THEN 0.0::DOUBLE ELSE list_reduce(ws, lambda a, b: a + b)::DOUBLE END AS weight
   FROM parts JOIN sums USING (page_id)
 )
 SELECT page_id, host, path, nullif(split_part(coalesce(site, ''), '|', 1), '') AS rule,
