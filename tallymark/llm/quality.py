@@ -1,6 +1,6 @@
 """Quality classifier: document evidence combined with site posteriors by hierarchical empirical Bayes.
 
-A logistic regression over hashed words (presence) and style measures is fitted on at most ``FIT_ROWS`` labelled documents
+A logistic regression over hashed words and the beginnings of words (presence, those that tell good from bad documents) and style measures is fitted on at most ``FIT_ROWS`` labelled documents
 (those with the smallest hashes of their ids); a document is good if its quality label is 1 and its toxic label is not. Each document's evidence is the
 log odds of the classifier less the log odds of the sample. Sites form a tree: all documents, host, path. The share of good documents of
 a host is shrunk toward the global share, that of a path toward its host's, by a beta prior whose strength is found from
@@ -24,12 +24,14 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import SPACED, Words, slices
+from tallymark.llm.words import LETTERED, Words, slices
 from tallymark.session import written
 
 FIT_ROWS = 20_000
-WORD_BITS = 17
-REGULARISATION = 1e-4
+WORD_BITS = 18
+PREFIXES = (4, 6)  # bytes
+REGULARISATION = 3e-4
+EVIDENCE = 15.0
 KEEP = 0.5
 SITES_IN_MEMORY = 50_000
 STYLE = (
@@ -60,6 +62,9 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         batch = Words(texts[start:stop])
         lines = Words(texts[start:stop], ~_set(b"\n").astype(bool))
         words, line_hashes = batch.hashes(), lines.hashes()
+        letters = Words(texts[start:stop], LETTERED)
+        parts = [letters.hashes()] + [letters.hashes(n) ^ np.uint64(n) << np.uint64(60) for n in PREFIXES]
+        parts = [p >> np.uint64(64 - WORD_BITS) for p in parts]
         sums = []
         for table in _TABLES:
             total = np.concatenate([[0], np.cumsum(table[batch.raw])])
@@ -75,7 +80,8 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             style = [s[row] / size[row] for s in sums] + [
                 1 - len(distinct) / n, 1 - len(np.unique(own_lines)) / max(1, len(own_lines)),
                 (ends[high] - ends[low]) / n, 1 / n, float(high == low)]
-            places = np.unique(distinct >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+            a, z = letters.first[row], letters.first[row + 1]
+            places = np.unique(np.concatenate([p[a:z] for p in parts])).astype(np.int64)
             style = np.array(style) * STYLE_WEIGHT
             yield (
                 np.concatenate([places, (1 << WORD_BITS) + np.arange(len(STYLE))]),
@@ -113,17 +119,39 @@ def fit(
                     pa.array([truth.value[ids[k]] for k in chosen]), pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())),
                     pa.array(values, pa.list_(pa.float64()))], ["label", "places", "values"])
 
-    vector = F.udf(lambda p, v: SparseVector(DIMENSIONS, p, v), VectorUDT())
     found = written(spark, df.select(F.col(id_col), F.col(text_col)).mapInArrow(
         task, "label double, places array<int>, values array<double>"), "sample")
     n, good = found.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or good in (0, n):
         return None
+    scale = _telling(found, n, good)
+    vector = F.udf(lambda p, v: SparseVector(DIMENSIONS, p, np.array(v) * scale[np.array(p)]), VectorUDT())
     ready = found.select("label", vector("places", "values").alias("features")).persist()
     fitted = LogisticRegression(
         maxIter=40, regParam=REGULARISATION, standardization=False, aggregationDepth=2).fit(ready)
     ready.unpersist()
-    return Model(fitted.coefficients.toArray(), fitted.intercept, float(np.log(good / (n - good))))
+    return Model(fitted.coefficients.toArray() * scale, fitted.intercept, float(np.log(good / (n - good))))
+
+
+def _telling(sample: DataFrame, n: int, good: float) -> np.ndarray:
+    """1 for the word places that the regression may use, 0 for the others; style places are always used.
+
+    A place is used if its share of good documents differs from the whole sample's by more than chance: a likelihood ratio of
+    at least ``EVIDENCE``. Without that, words that single documents happen to have would drown the few that matter.
+    """
+    counts = sample.select("label", F.explode("places").alias("place")).groupBy("place").agg(
+        F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    part = lambda k, m, share: F.when(k > 0, k * F.log(k / (m * share))).otherwise(0.0)
+    bad, p = F.col("n") - F.col("good"), good / n
+    ratio = 2 * (
+        part(F.col("good"), F.col("n"), F.lit(p)) + part(bad, F.col("n"), F.lit(1 - p))
+        + part(good - F.col("good"), F.lit(float(n)) - F.col("n"), F.lit(p))
+        + part(n - good - bad, F.lit(float(n)) - F.col("n"), F.lit(1 - p)))
+    scale = np.zeros(DIMENSIONS)
+    scale[1 << WORD_BITS:] = 1
+    for row in counts.where((ratio >= EVIDENCE) & (F.col("place") < 1 << WORD_BITS)).toLocalIterator():
+        scale[row["place"]] = 1
+    return scale
 
 
 def with_log_odds(spark: SparkSession, df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

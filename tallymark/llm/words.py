@@ -98,15 +98,16 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word."""
+    def hashes(self, length: int | None = None) -> np.ndarray:
+        """A 64-bit hash for each word, or for its first ``length`` bytes."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         up, down = powers(len(self.data) + 1)
         sums = np.empty(len(self.data) + 1, np.uint64)
         sums[0] = 0
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        ends = self.ends if length is None else np.minimum(self.ends, self.starts + length)
+        return mix((sums[ends] - sums[self.starts]) * down[self.starts])
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i]: self.ends[i]].tobytes()
