@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallymark.llm import urls
+import re
+
+from tallymark.llm import catalog, decontaminate, licenses, revisits, urls
 
 SQL: dict[str, str] = {}
 
@@ -45,3 +47,92 @@ FROM judged
 
 
 SQL["op7_url_filter"] = _url_sql()
+
+
+WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _template_pattern(template: str) -> str:
+    """A template as a pattern over words that each end in a space."""
+    out = []
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part == "<<beginOptional>>":
+            out.append("(?:")
+        elif part == "<<endOptional>>":
+            out.append(")?")
+        elif part.startswith("<<var"):
+            least, most = re.search(r"words=(\d+)-(\d+)", part).groups()
+            out.append(f"(?:[^ ]+ ){{{least},{most}}}")
+        else:
+            out += [f"{w} " for w in re.findall(r"[0-9a-z]+", part.lower())]
+    return "".join(out)
+
+
+def _license_sql() -> str:
+    hits = []
+    for phrase, label in licenses.PHRASES.items():
+        words = phrase.split()
+        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        hits.append(
+            f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {same}), lambda i: {{'at': i - 1, 'label': '{label}'}})")
+    found = ", ".join(
+        f"CASE WHEN regexp_matches(joined, ' {_template_pattern(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES.items())
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS.format(ASCII_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+h AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, flatten([{', '.join(hits)}]) AS base FROM d),
+f AS (SELECT *, list_distinct(list_transform(base, lambda b: b.label)) AS base_set,
+  list_filter([{found}], lambda x: x IS NOT NULL) AS templates FROM h)
+SELECT doc_id, len(w) AS n_words, len(base) AS n_base, list_min(list_transform(base, lambda b: b.at)) AS first_word,
+  list_max(list_transform(base, lambda b: b.at)) AS last_word, coalesce(array_to_string(list_sort(base_set), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base_set, templates))), ','), '') AS labels,
+  CASE WHEN len(templates) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM f
+"""
+
+
+def _decontamination_sql() -> str:
+    k = decontaminate.SHINGLE
+
+    def shingles(table: str, key: str) -> str:
+        return f"""SELECT {key}, unnest(CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}),
+            lambda i: array_to_string(w[i:i + {k - 1}], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+            FROM (SELECT {key}, {WORDS.format("lower(coalesce(text, ''))")} AS w FROM {table})"""
+    return f"""
+WITH d AS ({shingles('documents', 'doc_id')}), q AS ({shingles('benchmark', 'item_id')}),
+n AS (SELECT item_id, count(*) AS item_shingles FROM q GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN q USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, shared / item_shingles::DOUBLE AS containment, shared, item_shingles
+FROM s JOIN n USING (item_id) WHERE shared >= {decontaminate.THRESHOLD} * item_shingles
+"""
+
+
+def _revisit_sql() -> str:
+    assert {"date", "etag", "last-modified"} <= set(revisits.PERMITTED)
+    return f"""
+WITH captures AS ({catalog.CAPTURES_SQL.replace('AS STRING', 'AS VARCHAR')}),
+a AS (SELECT *, regexp_replace(regexp_replace(coalesce(url, ''), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest
+  FROM captures),
+b AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') AS h,
+  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS p,
+  regexp_replace(regexp_replace(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '(^|&)(utm_[^&]*|ref=[^&]*|fbclid=[^&]*)', '', 'g'),
+    '^&+', '') AS q FROM a),
+c AS (SELECT *, h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical_url FROM b),
+f AS (SELECT r.record_id, r.canonical_url, r.etag, r.modified, r.date, arg_max(x, {{'t': x.time, 'i': x.record_id}}) AS x
+  FROM c r LEFT JOIN c x ON x.status = 200 AND x.canonical_url = r.canonical_url AND x.time < r.time AND r.canonical_url <> ''
+  WHERE r.status = 304 GROUP BY ALL),
+o AS (SELECT *, CASE WHEN x IS NULL THEN 'no-response'
+  WHEN etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(x.etag, '^W/', '') THEN 'resolved'
+    ELSE 'etag-differs' END
+  WHEN modified IS NOT NULL THEN CASE WHEN modified = x.modified THEN 'resolved' ELSE 'date-differs' END
+  ELSE 'no-validator' END AS outcome FROM f)
+SELECT record_id, canonical_url, x.record_id AS response_id, outcome, CASE WHEN outcome = 'resolved' THEN x.digest END AS digest,
+  CASE WHEN outcome = 'resolved' THEN 'content-type=' || x.kind || '; date=' || date || '; etag=' || coalesce(etag, x.etag)
+    || '; last-modified=' || coalesce(modified, x.modified) END AS headers
+FROM o
+"""
+
+
+SQL["op2_licenses"] = _license_sql()
+SQL["op3_decontamination"] = _decontamination_sql()
+SQL["op9_revisits"] = _revisit_sql()
