@@ -124,17 +124,25 @@ def fit(
     n, good = found.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or good in (0, n):
         return None
-    scale = _telling(found, n, good)
-    vector = F.udf(lambda p, v: SparseVector(DIMENSIONS, p, np.array(v) * scale[np.array(p)]), VectorUDT())
+    telling = _telling(found, n, good)
+
+    def narrow(places, values):
+        at = np.minimum(np.searchsorted(telling, places), len(telling) - 1)
+        same = telling[at] == places
+        return SparseVector(len(telling), at[same], np.array(values)[same])
+
+    vector = F.udf(narrow, VectorUDT())
     ready = found.select("label", vector("places", "values").alias("features")).persist()
     fitted = LogisticRegression(
         maxIter=40, regParam=REGULARISATION, standardization=False, aggregationDepth=2).fit(ready)
     ready.unpersist()
-    return Model(fitted.coefficients.toArray() * scale, fitted.intercept, float(np.log(good / (n - good))))
+    weights = np.zeros(DIMENSIONS)
+    weights[telling] = fitted.coefficients.toArray()
+    return Model(weights, fitted.intercept, float(np.log(good / (n - good))))
 
 
 def _telling(sample: DataFrame, n: int, good: float) -> np.ndarray:
-    """1 for the word places that the regression may use, 0 for the others; style places are always used.
+    """The places that the regression uses, sorted: words that tell good from bad documents, and all style places.
 
     A place is used if its share of good documents differs from the whole sample's by more than chance: a likelihood ratio of
     at least ``EVIDENCE``. Without that, words that single documents happen to have would drown the few that matter.
@@ -147,11 +155,11 @@ def _telling(sample: DataFrame, n: int, good: float) -> np.ndarray:
         part(F.col("good"), F.col("n"), F.lit(p)) + part(bad, F.col("n"), F.lit(1 - p))
         + part(good - F.col("good"), F.lit(float(n)) - F.col("n"), F.lit(p))
         + part(n - good - bad, F.lit(float(n)) - F.col("n"), F.lit(1 - p)))
-    scale = np.zeros(DIMENSIONS)
-    scale[1 << WORD_BITS:] = 1
-    for row in counts.where((ratio >= EVIDENCE) & (F.col("place") < 1 << WORD_BITS)).toLocalIterator():
-        scale[row["place"]] = 1
-    return scale
+    chosen = np.zeros(DIMENSIONS, bool)
+    chosen[1 << WORD_BITS:] = True
+    for row in counts.where((ratio >= EVIDENCE) & (F.col("place") < 1 << WORD_BITS)).select("place").toLocalIterator():
+        chosen[row["place"]] = True
+    return np.flatnonzero(chosen)
 
 
 def with_log_odds(spark: SparkSession, df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
