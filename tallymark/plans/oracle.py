@@ -356,6 +356,27 @@ pr AS (
     LEFT JOIN nc ON nc.pair_id = p.pair_id)"""
 
 
+# The longest common sequence by its table, one row of the table per reference token: an entry grows by one where the
+# tokens agree, and is at least every entry before it.
+_ROUGE_L = """
+pairs_in AS (
+  SELECT u.conv_id || '-' || u.turn AS pair_id, u.text AS reference, a.text AS candidate
+  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'),
+toks AS (SELECT pair_id, regexp_extract_all(lower(coalesce(reference, '')), '[a-z0-9]+') AS r,
+  regexp_extract_all(lower(coalesce(candidate, '')), '[a-z0-9]+') AS c FROM pairs_in),
+walk AS (
+  SELECT pair_id, 0 AS i, list_transform(c, lambda x: 0) AS s FROM toks
+  UNION ALL
+  SELECT pair_id, i + 1, list_transform(range(1, len(v) + 1), lambda k: list_max(v[1:k])) FROM (
+    SELECT w.pair_id, w.i, list_transform(range(1, len(t.c) + 1), lambda k:
+      greatest(w.s[k], CASE WHEN t.c[k] = t.r[w.i + 1] THEN coalesce(w.s[k - 1], 0) + 1 ELSE 0 END)) AS v
+    FROM walk w JOIN toks t USING (pair_id) WHERE w.i < len(t.r))),
+pr AS (SELECT pair_id, coalesce(CAST(coalesce(s[len(c)], 0) AS DOUBLE) / nullif(len(c), 0), 0)::DOUBLE AS precision,
+  coalesce(CAST(coalesce(s[len(c)], 0) AS DOUBLE) / nullif(len(r), 0), 0)::DOUBLE AS recall
+  FROM toks JOIN walk USING (pair_id) WHERE i = len(r))"""
+
+
 def _pair_table() -> str:
     return f"""{_SPLITS},
 t AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || text_key), doc_id) - 1 AS place,
@@ -543,6 +564,8 @@ def build() -> dict[str, str]:
             (VALUES ('None'), ('zkNummer'), ('kriterium'), ('gewichtung'), ('maxPunkte')) v(label_view) WHERE NOT failed""",
         "rouge1": f"""WITH {_TURN_PAIRS} SELECT pair_id, precision, recall, CASE WHEN precision + recall = 0 THEN 0
             ELSE precision * recall * 2 / (precision + recall) END AS f1 FROM pr""",
+        "rouge_l": f"""WITH RECURSIVE {_ROUGE_L} SELECT pair_id, precision, recall, CASE WHEN precision + recall = 0 THEN 0
+            ELSE precision * recall * 2 / (precision + recall) END AS f1 FROM pr""",
         "dedup_texts": """SELECT doc_id, lang, source, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS copies
             FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
         "distinct_rows": f"{_WITH_PAGES} SELECT DISTINCT label, label_predicted, prompt_id, list_text FROM clean",
