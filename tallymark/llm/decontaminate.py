@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.minhash import multipliers
-from tallymark.llm.words import LETTERED, Words, shingle_hashes, slices
+from tallymark.llm.words import LETTERED, Words, shingle_hashes, slices, small_batches
 
 SHINGLE = 5
 HASHES = 64
@@ -141,6 +141,7 @@ class Items:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The items in blocks of bounded number and size."""
+    small_batches(items.sparkSession)
     narrow = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n, size = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(-(-n // (BLOCK_ITEMS // 2)), -(-size // (BLOCK_BYTES // 2)))  # half full on average

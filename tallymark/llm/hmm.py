@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import Words, mix, slices
+from tallymark.llm.words import Words, mix, slices, small_batches
 from tallymark.session import written
 
 FOLDS, HELD_OUT = 7, 2
@@ -308,6 +308,7 @@ def baum_welch(spark: SparkSession, texts: DataFrame, chain: Chain, rounds: int
 def scored(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of each row."""
     source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    small_batches(spark)
     counts = word_counts(spark, source)
 
     def training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

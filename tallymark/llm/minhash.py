@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import Words, shingle_hashes, slices
+from tallymark.llm.words import Words, shingle_hashes, slices, small_batches
 from tallymark.session import written
 
 SHINGLE = 5
@@ -174,6 +174,7 @@ def edited_fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_i
     met in the same sorted task; only the first row of each range also goes to the range before it. Texts move through
     one shuffle, and no task holds more than one batch and one row.
     """
+    small_batches(spark)
     pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     bounds = _bounds(df.select(key.alias("key")), pieces)

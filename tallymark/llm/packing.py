@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymark.llm.words import small_batches
 from tallymark.session import written
 
 LENGTH = 1024
@@ -200,6 +201,7 @@ def packed(
     path: str | None = None,
 ) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
+    small_batches(spark)
     rows = written(spark, pieces(df, id_col, text_col, length, path), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table, sequence, taken = [], 0, {}

@@ -24,7 +24,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import LETTERED, Words, slices
+from tallymark.llm.words import LETTERED, Words, slices, small_batches
 from tallymark.session import written
 
 FIT_ROWS = 20_000
@@ -103,6 +103,7 @@ def fit(
     rows: int = FIT_ROWS,
 ) -> Model | None:
     """Fit on a bounded sample of labelled documents; None if it lacks one of the two kinds."""
+    small_batches(spark)
     known = labels.select(
         F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)).cast("double").alias("y"),
     ).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"))

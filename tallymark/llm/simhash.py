@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
+from tallymark.llm.words import small_batches
 from tallymark.session import written
 
 SHINGLE = 3
@@ -120,6 +121,7 @@ def near_duplicates(
     size: int = SHINGLE,
 ) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits), ``component_id`` (smallest id of the component)."""
+    small_batches(spark)
     rows = written(spark, fingerprints(df, id_col, text_col, size), "fingerprints")
     nodes = written(spark, rows.groupBy("bits").agg(F.min("id").alias("low")), "nodes")
     # Nodes are named by their fingerprint; the smallest id of a component follows from its nodes' smallest ids.

@@ -26,6 +26,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` at most, in this session: rows carry whole texts, and each task holds several batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def word_table(separators: bytes) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     table[list(separators)] = False
