@@ -18,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import Words, shingle_hashes, slices, small_batches
+from tallymark.llm.words import Words, mix, shingle_hashes, slices, small_batches
 from tallymark.session import written
 
 SHINGLE = 5
 PERMUTATIONS = 128
 BANDS, ROWS = 25, 5
 THRESHOLD = 0.8
+BLOCK = 1 << 17  # shingles
 SEED = 42
 _CHUNK = 4096
 _KEPT_BITS = 16
@@ -95,40 +96,127 @@ def near_classes(
 ) -> DataFrame:
     """``id``, ``class_id``: rows joined by chains of texts with a shingle Jaccard of at least ``threshold``.
 
-    Equal texts form one class before the search, so copies are never compared with each other. Signatures are cut
-    into 25 bands of five values; representatives that share a band are candidates. Inside a band's group each member
-    is held against its neighbours in id order and the group's smallest id, which joins a group of n with 2n pairs, and each pair is kept if
-    its exact Jaccard is high enough. The class id is the smallest id of the class. Rows with a null id are left out.
+    The class id is the smallest id of the class. Rows with a null id are left out.
+    """
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    rows, classes = labelled(spark, source, threshold)
+    least = classes.groupBy("label").agg(F.min("low").alias("class_id"))
+    return rows.join(classes.join(least, "label").select("copy", "class_id"), "copy").select("id", "class_id")
+
+
+def copy_key(text):
+    """16 bytes that name a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def labelled(spark: SparkSession, source: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``copy`` of each row of ``source`` (``id``, ``text``), and ``copy``, ``low``, ``label`` of each distinct text.
+
+    Equal texts are one node before the search, named by its ``copy``; ``low`` is its smallest id, ``label`` is common to a
+    component. Signatures are cut into 25 bands of five values, and nodes that share a band are candidates. First each
+    member of a band's group is held against the group's least node, so a large group of near copies is joined by n pairs. Then
+    all members of a group that are not in one component yet are compared, block of nodes by block, so every pair that
+    shares a band is either joined already or has its exact Jaccard taken. A pair of a Jaccard of 0.8 shares no band
+    with a probability of 5e-5.
     """
     from tallymark.llm.components import components
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    keyed = written(spark, source.select("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("copy")), "copies")
-    classes = keyed.groupBy("copy").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id"))
-    narrow = source.join(reps, "id", "left_semi").dropDuplicates(["id"])
-    signed = written(spark, with_signature(narrow, "id", "text").select("id", "signature"), "signatures")
-    bands = signed.select("id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.slice("signature", k * ROWS + 1, ROWS)),
-    )).alias("band", "key"))
-    groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
-    inside = bands.join(groups, ["band", "key"])
-    beside = Window.partitionBy("band", "key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
-    pairs = inside.select("id", "head", F.lag("id").over(beside).alias("near")).select(
-        "id", F.explode(F.array_distinct(F.array_compact(F.array("head", "near")))).alias("other"),
-    ).where("id <> other").distinct()
-    pairs = written(spark, pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    sets = written(spark, _shingle_sets(source.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
-    links = pairs.join(sets.select("id", F.col("shingles").alias("a")), "id").join(
-        sets.select(F.col("id").alias("other"), F.col("shingles").alias("b")), "other")
-    both = F.size(F.array_intersect("a", "b"))
-    links = links.where(both >= F.lit(threshold) * (F.size("a") + F.size("b") - both)).select(
-        F.col("id").alias("a"), F.col("other").alias("b"))
-    labels = components(spark, links)
-    return keyed.join(classes, "copy").select("id", "rep").join(
-        labels.select(F.col("node").alias("rep"), "label"), "rep", "left",
-    ).select("id", F.coalesce("label", "rep").alias("class_id"))
+    small_batches(spark)
+    rows = written(spark, _banded(source), "bands")
+    nodes = rows.groupBy("copy").agg(
+        F.min("id").alias("low"), F.min(F.xxhash64("id")).alias("place"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select("node", "size", F.explode("keys").alias("key"))
+    groups = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    inside = written(spark, bands.join(groups, "key").select("key", "node", "size", "head"), "members")
+    wanted = inside.select("node").distinct().join(nodes, "node").select("node", "copy", "place")
+    texts = source.select(copy_key(F.col("text")).alias("copy"), F.xxhash64("id").alias("place"), "text").dropDuplicates(["copy", "place"])
+    sets = written(spark, _shingle_sets(texts.join(wanted, ["copy", "place"]).select(F.col("node").alias("id"), "text")), "sets")
+    pairs = inside.where("node <> head").select("node", "head").distinct()
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(sets.select(F.col("id").alias("node"), F.col("shingles").alias("x")), "node").join(
+        sets.select(F.col("id").alias("head"), F.col("shingles").alias("y")), "head",
+    ).where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both))
+    links = written(spark, found.select(F.col("head").alias("a"), F.col("node").alias("b")), "links")
+    more = written(spark, _rest(spark, inside, sets, components(spark, links), threshold), "links")
+    labels = components(spark, links.union(more)).withColumnRenamed("label", "_label")
+    return rows.select("id", "copy"), nodes.join(labels, "node", "left").select(
+        "copy", "low", F.coalesce("_label", "node").alias("label"))
+
+
+def _rest(spark: SparkSession, inside: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links between members of a group, other than its head, that have different labels so far.
+
+    A group's members are dealt into blocks of about ``BLOCK`` shingles. A label with more has blocks of its own, which are
+    not held against each other.
+    """
+    members = inside.where("node <> head").join(labels, "node", "left").select(
+        "key", "node", "size", F.coalesce("label", "node").alias("label"))
+    parts = members.groupBy("key", "label").agg(F.sum("size").alias("weight")).withColumn("own", F.col("weight") > BLOCK)
+    several = parts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(F.when(~F.col("own"), F.col("weight"))).alias("common")).where("k > 1")
+    number = F.pmod(
+        F.xxhash64(F.when(F.col("own"), F.col("node")).otherwise(F.col("label"))),
+        F.ceil(F.when(F.col("own"), F.col("weight")).otherwise(F.col("common")) / BLOCK))
+    dealt = members.join(parts.join(several, "key"), ["key", "label"]).select("key", "node", "label", F.struct(
+        F.when(F.col("own"), F.col("label")).otherwise(-1).alias("of"), number.alias("number")).alias("block"))
+    dealt = written(spark, dealt, "blocks")
+    blocks = dealt.select("key", "block").distinct()
+    tasks = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key").where(
+        "x <= y AND (x.of <> y.of OR x.of = -1)")
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(*[F.struct(F.col(c).alias("block"), F.lit(k).alias("side")) for k, c in enumerate("xy", 1)]))
+    sent = tasks.select("key", F.xxhash64("key", "x", "y").alias("task"), F.explode(sides).alias("s")).select(
+        "key", "task", "s.block", "s.side").join(dealt, ["key", "block"])
+    ready = sent.join(sets.withColumnRenamed("id", "node"), "node").select("task", "side", "node", "label", "shingles")
+
+    def compare(block: pa.Table) -> pa.Table:
+        side, node, label = (block.column(k).to_numpy() for k in (1, 2, 3))
+        a, b = _similar(pa.concat_arrays(block.column(4).chunks), threshold)
+        new = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 0))
+        return pa.table({"a": node[a[new]], "b": node[b[new]]})
+
+    return ready.groupBy("task").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _similar(sets: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of sets with at least the Jaccard ``threshold``; two empty sets are alike."""
+    values, bounds = sets.flatten().to_numpy(zero_copy_only=False), np.asarray(sets.offsets) - sets.offsets[0].as_py()
+    size = np.diff(bounds)
+    distinct, at = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(size)), size)[np.argsort(at, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(distinct)))]).astype(np.int64)
+    left, right = [], []
+    for row in range(len(size)):
+        own = at[bounds[row]: bounds[row + 1]]
+        n = first[own + 1] - first[own]
+        places = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+        both = np.bincount(owner[places], minlength=len(size))[row + 1:]
+        near = np.flatnonzero(both >= threshold * (size[row] + size[row + 1:] - both)) + row + 1
+        left.append(np.full(len(near), row))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _banded(source: DataFrame) -> DataFrame:
+    """``id``, ``copy``, ``size`` (shingles and one) and the ``keys`` of the bands of each text."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                signature = signatures(part.column(1)).astype(np.uint64)
+                keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(signature), 1))
+                for k in range(ROWS):
+                    keys = mix(keys * np.uint64(1 << 32 | 5) + signature[:, k: BANDS * ROWS: ROWS] + np.uint64(1))
+                words = Words(part.column(1))
+                bounds = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
+                copies = [hashlib.md5((t or "").encode()).digest() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array(copies, pa.binary()), pa.array(np.maximum(words.counts - SHINGLE + 1, 0) + 1, pa.int64()),
+                    pa.ListArray.from_arrays(bounds, pa.array(keys.ravel().view(np.int64)))], ["id", "copy", "size", "keys"])
+
+    return source.select("id", "text").mapInArrow(
+        task, f"id {dict(source.dtypes)['id']}, copy binary, size bigint, keys array<bigint>")
 
 
 def _shingle_sets(df: DataFrame) -> DataFrame:

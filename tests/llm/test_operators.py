@@ -125,6 +125,37 @@ def test_near_classes(spark):
     assert got == want
 
 
+def by_chains(texts, threshold=0.8):
+    """Brute force: the least place of each text's class."""
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= threshold:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if k == old else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [None, 1000])
+def test_near_classes_in_template_families(spark, monkeypatch, block):
+    """Pages on one template share bands but are no near copies of each other; some pairs among them are."""
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block)
+    draw, texts = random.Random(3), []
+    for family in range(3):
+        frame = [f"t{family}w{k}" for k in range(180)]
+        for page in range(30):
+            own = [f"f{family}p{page}w{k}" for k in range(24)]
+            texts.append(" ".join(frame + own))
+            if page % 3 == 0:
+                texts.append(" ".join(frame + own[:12] + [f"f{family}q{page}w{k}" for k in range(12)]))
+    draw.shuffle(texts)
+    label = by_chains(texts)
+    assert len(set(label)) == 90
+    got = {r["id"]: r["class_id"] for r in minhash.near_classes(spark, documents(spark, texts)).collect()}
+    assert got == {i * 3: k * 3 for i, k in enumerate(label)}
+
+
 # Components ----------------------------------------------------------------------------------------------------------
 
 def test_components(spark):
