@@ -67,6 +67,21 @@ def test_stages_on_odd_rows(spark, folder):
     assert near.where("doc_id = 1").count() == 1 and near.where("doc_id IS NULL").count() == 2
 
 
+def test_near_copies_are_dropped(spark):
+    """Near copies of a Jaccard of 0.8 to 0.97 go, those below 0.8 stay."""
+    draw = random.Random(4)
+    texts, kept = [], []
+    for k, (words, edits) in enumerate([(300, 1), (300, 3), (300, 5), (300, 6), (120, 1), (120, 2), (300, 9), (120, 4)] * 5):
+        first = [f"w{draw.randrange(5000)}" for _ in range(words)]
+        second = [f"e{k}" if i % (words // (edits + 1)) == 0 and 0 < i // (words // (edits + 1)) <= edits else w for i, w in enumerate(first)]
+        a, b = ({tuple(t[i: i + 5]) for i in range(words - 4)} for t in (first, second))
+        kept += [len(texts)] + [len(texts) + 1] * (len(a & b) < 0.8 * len(a | b))
+        texts += [" ".join(first), " ".join(second)]
+    assert len(kept) == 50
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_matches_sql(spark, name):
