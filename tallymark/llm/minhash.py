@@ -104,6 +104,16 @@ def near_classes(
     return rows.join(classes.join(least, "label").select("copy", "class_id"), "copy").select("id", "class_id")
 
 
+def representatives(
+    spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``place`` (hash of the id) and ``copy`` of one row of each class: that of the smallest id, null ids last, then the least copy."""
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    _, classes = labelled(spark, source, threshold)
+    least = classes.groupBy("label").agg(F.min(F.struct(F.col("low").isNull(), "low", "copy")).alias("row"))
+    return least.select(F.xxhash64("row.low").alias("place"), "row.copy")
+
+
 def copy_key(text):
     """16 bytes that name a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

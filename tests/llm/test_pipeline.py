@@ -82,6 +82,17 @@ def test_near_copies_are_dropped(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    """Id 5 has a copy of document 3 and a text of its own, which stays; copies under null ids are dropped."""
+    own = [" ".join(f"{name}{k}" for k in range(60)) for name in "abcdefg"]
+    rows = [(3, own[0]), (5, own[0]), (5, own[1]), (5, own[1]), (6, own[2]), (None, own[3]), (None, own[3]), (None, own[0]), (None, own[4])]
+    rows += [(7, own[k]) for k in (5, 6)] * 20
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([
+        ("3", own[0]), ("5", own[1]), ("6", own[2]), ("7", own[5]), ("7", own[6]), ("None", own[3]), ("None", own[4])])
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_query_matches_sql(spark, name):
