@@ -234,7 +234,10 @@ def judged(
     spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     host_col: str = "source", path_col: str = "lang",
 ) -> DataFrame:
-    """``doc_id``, ``host``, ``path``, ``classifier``, ``site_share``, ``posterior``, ``accepted`` of each row."""
+    """``doc_id``, ``host``, ``path``, ``classifier``, ``site_share``, ``posterior``, ``accepted`` of each row.
+
+    Documents carry no url, so by default ``source`` stands for the host and ``lang`` for the path.
+    """
     model = fit(spark, df, labels, id_col, text_col)
     narrow = df.select(
         F.col(id_col).alias("doc_id"), F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("text"))

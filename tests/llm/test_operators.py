@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -289,6 +290,24 @@ def test_sparse_sites_keep_their_parents_share(spark):
     assert by_host["tiny"] > 0.2 and strength > 0  # one document says little about its host
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001/pages.parquet") and not os.path.isfile("/root/testdata/sf0.001/pages.parquet"), reason="no test tables")
+def test_quality_by_hosts_and_paths_of_pages(spark):
+    """Sites are the hosts and paths of real urls; a document's own share is left out of its path's."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.expr("parse_url(url, 'HOST')").alias("host"),
+        F.regexp_extract("url", "^[a-z]+://[^/]*(/[^/?]*)", 1).alias("path"))
+    labels = pages.select("doc_id", F.when(F.col("path") == "/en", 1).otherwise(0).alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.judged(spark, pages, labels, host_col="host", path_col="path").collect()
+    want = {r["doc_id"]: (r["host"], r["path"]) for r in pages.collect()}
+    assert len({h for h, _ in want.values()}) > 1 and len({p for _, p in want.values()}) > 1
+    assert {r["doc_id"]: (r["host"], r["path"]) for r in got} == want and len(got) == len(want)
+    assert all(0 < r["site_share"] < 1 for r in got)
+    offsets = defaultdict(set)
+    for r in got:
+        offsets[r["host"], r["path"]].add(round(r["site_share"], 12))
+    assert len(set.union(*offsets.values())) > 1
+
+
 def test_quality_cases(spark):
     docs, labels = labelled_corpus(spark, 60)
     odd = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame(
