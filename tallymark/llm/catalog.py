@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, hmm, licenses, minhash, packing, quality, revisits, sharding, simhash, urls
+from tallymark.llm import (
+    decontaminate, hmm, licenses, minhash, mixing, packing, quality, revisits, sharding, simhash, spelling, urls, vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +106,22 @@ def op8_simhash(spark, sf):
 def op10_packing(spark, sf):
     """Every document's pieces with their place in sequences of 1024 tokens."""
     return packing.packed(spark, _table(spark, sf, "documents"))
+
+
+@query
+def op11_spelling(spark, sf):
+    """Every word of the corpus with its near words and the form it is a variant of."""
+    return spelling.variants(spark, _table(spark, sf, "documents"))
+
+
+@query
+def op12_codes(spark, sf):
+    """Product codes of every whole vector."""
+    return vectors.compressed(spark, _table(spark, sf, "embeddings"))
+
+
+@query
+def op13_mixing(spark, sf):
+    """How many words of every document the mix takes; documents labelled good are drawn first more often."""
+    rows = mixing.label_weights(mixing.measured(_table(spark, sf, "documents")), _table(spark, sf, "labels"))
+    return mixing.mixed(spark, rows)

@@ -136,3 +136,72 @@ FROM o
 SQL["op2_licenses"] = _license_sql()
 SQL["op3_decontamination"] = _decontamination_sql()
 SQL["op9_revisits"] = _revisit_sql()
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """op12: each round is an assignment over the long table of parts and a floor of the mean."""
+    steps = [f"""
+kept AS (SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS place
+  FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+wide AS (SELECT CAST(greatest(1, ceil(max(len(v)) / {parts}.0)) AS BIGINT) AS w FROM kept),
+x AS (SELECT place, part, pos, CAST(floor(1024 * coalesce(CAST(v[part * w + pos + 1] AS DOUBLE), 0)) AS BIGINT) AS x
+  FROM kept, wide, (SELECT unnest(range({parts})) AS part), (SELECT unnest(range(w)) AS pos FROM wide)),
+book0 AS (SELECT part, place AS entry, pos, x AS c FROM x WHERE place < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (SELECT place, part, min(d * {entries} + entry) AS best FROM (
+    SELECT place, x.part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN book{k} b ON x.part = b.part AND x.pos = b.pos
+    GROUP BY place, x.part, entry) GROUP BY place, part)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (SELECT x.part, best % {entries} AS entry, pos, sum(x) AS s, count(*) AS n
+  FROM x JOIN near{k} USING (place, part) GROUP BY x.part, best % {entries}, pos),
+book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce((s - ((s % n) + n) % n) // n, c) AS c
+  FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)""")
+    last = rounds
+    return f"""WITH {','.join(steps)},
+coded AS (SELECT place, string_agg(printf('%02x', CAST(best % {entries} AS INT)), '' ORDER BY part) AS code,
+    CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{last} GROUP BY place)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book{last}) AS codebooks_sha256
+FROM kept JOIN coded USING (place)"""
+
+
+# op13: the share of a source is a line through the sources in order of what they can take a weight: before the first that fits, all are at their cap.
+_MIXING_SQL = r"""
+WITH rated AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 4.0 ELSE 1.0 END) AS w
+  FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), docs AS (
+  SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS digest,
+    coalesce(CAST(w AS DOUBLE), 2.0) AS weight
+  FROM documents d LEFT JOIN rated r ON d.doc_id = r.doc_id
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM docs GROUP BY source
+), ordered AS (
+  SELECT *, sum(size) OVER () - 3 * coalesce(sum(size) OVER before, 0) AS remains, sum(w) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+    - coalesce(sum(w) OVER before, 0) AS shares
+  FROM sources WINDOW before AS (ORDER BY size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), line AS (
+  SELECT CAST(remains AS DOUBLE) AS remains, CAST(shares AS DOUBLE) AS shares FROM ordered
+  WHERE 3 * size * shares >= w * remains ORDER BY size / w, source NULLS LAST LIMIT 1
+), targets AS (
+  SELECT source, size AS source_size, CASE WHEN 3 * size * shares < w * remains THEN CAST(3 * size AS DOUBLE) ELSE w * remains / shares END AS target
+  FROM sources, line
+), keyed AS (
+  SELECT doc_id, docs.source, size, source_size, target, CAST(round(target) AS BIGINT) AS budget, digest, weight,
+    -ln((CAST('0x' || substr(md5(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', digest)), 1, 13) AS BIGINT) + 0.5)
+      / 4503599627370496.0::DOUBLE) / weight AS key
+  FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source
+), drawn AS (
+  SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs, coalesce(sum(size) OVER (
+    PARTITION BY source ORDER BY key, doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM keyed
+)
+SELECT doc_id, size, source_size, target, source, CAST(epochs AS BIGINT) AS epochs,
+  CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - earlier)) AS BIGINT) AS taken
+FROM drawn
+"""
+SQL |= {"op12_codes": _codes_sql(), "op13_mixing": _MIXING_SQL}
