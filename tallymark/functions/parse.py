@@ -19,6 +19,24 @@ RECORDS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 _LENIENT = {"allowSingleQuotes": "true"}
 _QUOTED = r""""[^"\\]*"|'[^'\\]*'"""
 _NOT_A_LIST = "not a list of records"
+_MALFORMED = "malformed literal"
+
+# Reading of Python literals on the JVM. Possessive loops, so that long texts need no deep stack.
+_JSON_LIKE = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+_STRING = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
+# Numbers whose text is their print form: no signed or leading zero, no exponent, few enough digits, no trailing zero.
+_NUMBER = r"(?:-?[1-9][0-9]{0,17}|0|-?(?:0(?!\.0000)|[1-9][0-9]{0,7})\.(?:0|[0-9]{0,5}[1-9]))"
+_NAME = "(?:None|True|False)"
+# Signs that stand for a string, a number, a constant and a flat record in the shape of a text; they never occur in its letters.
+_S, _N, _C, _R = "\x01", "\x02", "\x03", "\x04"
+_PAIR = f"{_S}:[{_S}{_N}{_C}]"
+_RECORD_SHAPE = rf"\{{(?:{_PAIR}(?:,{_PAIR})*+,?)?\}}"
+_RECORDS_SHAPE = rf"^\[(?:{_R}(?:,{_R})*+,?)?\]$"
+_MIXED_SHAPE = rf"^\[(?:[{_R}{_S}{_N}](?:,[{_R}{_S}{_N}])*+,?)?\]$"
+# What the shape cannot vouch for: other control characters, escapes that JSON reads otherwise or not at all.
+_ODD_LETTERS = r"[\x00-\x08\x0a-\x1f]|\\(?![\\'\"nrtbfu])|\\u(?![0-9a-cA-Ce-fE-F][0-9a-fA-F]{3}|[dD][0-7][0-9a-fA-F]{2})"
+# A name that is no constant, no string prefix and no call of an empty set makes any literal fail.
+_BAD_NAME = rf"(?<![\w.{_S}])(?!(?:None|True|False|set)\b)[A-Za-z_]\w*+(?!{_S})"
 _LITERAL = T.StructType([
     T.StructField("records", RECORDS),
     T.StructField("literals", T.ArrayType(T.MapType(T.StringType(), T.BooleanType()))),
@@ -73,17 +91,71 @@ def json_records(text: Column) -> Column:
     return F.transform(F.filter(maps, lambda m: m.isNotNull()), _last_value_wins)
 
 
+def _shape(text: Column) -> Column:
+    """A text with signs in place of its strings, plain numbers and constants, and without blanks."""
+    frame = F.regexp_replace(text, _STRING, _S)
+    frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NUMBER}(?![\w.{_S}])", _N)
+    frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NAME}(?![\w.{_S}])", _C)
+    return F.regexp_replace(F.regexp_replace(frame, "[ \t]+", ""), _RECORD_SHAPE, _R)
+
+
+def _as_json(text: Column) -> Column:
+    """A literal of a known shape as JSON: numbers and constants of records become strings that begin with a sign, commas before a closing
+    bracket go. Strings are matched as well, so nothing inside them is touched; the sign behind them is taken away again."""
+    marked = F.regexp_replace(text, rf"((?:{_STRING})[ \t]*:[ \t]*)({_NUMBER}|{_NAME})(?![\w.])|({_STRING})", f'$1$3"{_S}$2"')
+    return F.regexp_replace(replace_text(marked, f'"{_S}"', ""), rf",(?=[ \t]*[\]}}])|({_STRING})", "$1")
+
+
+def _of_shape(text: Column, shape: Column) -> Column:
+    """The records of a literal of a known shape, with signed values; null where Python has to read it."""
+    json = _as_json(text)
+    items = F.from_json(F.when(~shape.rlike(_RECORDS_SHAPE), json), T.ArrayType(T.StringType()), _JSON_LIKE)
+    maps = F.transform(items, lambda e: F.from_json(e, T.MapType(T.StringType(), T.StringType()), _JSON_LIKE))
+    # A string among the items is no record, even one that looks like it: such texts are left to Python.
+    braces = lambda c: F.length(c) - F.length(replace_text(c, "{", ""))
+    open_ = braces(text) == braces(F.regexp_replace(text, _STRING, ""))
+    found = (
+        F.when(shape.isin(_R, _S), F.from_json(F.lit("[]"), RECORDS))
+        .when(shape.rlike(_RECORDS_SHAPE), F.from_json(json, RECORDS, _JSON_LIKE))
+        .when(shape.rlike(_MIXED_SHAPE) & open_, F.filter(maps, lambda m: m.isNotNull()))
+    )
+    return F.transform(found, _last_value_wins)
+
+
+def _signed(v: Column) -> Column:
+    return F.startswith(v, F.lit(_S))
+
+
+def _plain_values(records: Column) -> Column:
+    """Signed values as they print; a None is an empty text."""
+    return F.transform(records, lambda r: F.transform_values(r, lambda k, v: F.when(
+        _signed(v), replace_text(F.substring(v, 2, 1 << 30), "None", "")).otherwise(v)))
+
+
+def _value_flags(records: Column) -> Column:
+    """Per record the keys of signed values, and whether they count as a value."""
+    nothing = [_S + x for x in ("None", "False", "0", "0.0", "-0.0")]
+    return F.transform(records, lambda r: F.transform_values(
+        F.map_filter(r, lambda k, v: _signed(v)), lambda k, v: ~v.isin(nothing)))
+
+
+def _utf8(text: str) -> str:
+    """Half a surrogate pair, which an escape can make, is no character: it becomes a question mark."""
+    return text.encode("utf-8", "replace").decode()
+
+
 def _literal_row(text: str | None) -> dict | None:
     if text is None:
         return None
     try:
         found = [item for item in ast.literal_eval(text) if isinstance(item, dict)]
     except Exception as problem:  # any failure makes the row a failed one
-        return {"records": None, "literals": None, "error": str(problem)}
-    as_text = [{str(k): "" if v is None else str(v) for k, v in item.items()} for item in found]
+        return {"records": None, "literals": None, "error": _utf8(str(problem))}
+    found = [{_utf8(str(k)): _utf8(v) if isinstance(v, str) else v for k, v in item.items()} for item in found]
+    as_text = [{k: "" if v is None else _utf8(str(v)) for k, v in item.items()} for item in found]
     return {
         "records": [list(item.items()) for item in as_text],
-        "literals": [[(str(k), bool(v)) for k, v in item.items() if not isinstance(v, str)] for item in found],
+        "literals": [[(k, bool(v)) for k, v in item.items() if not isinstance(v, str)] for item in found],
         "error": None,
     }
 
@@ -110,15 +182,38 @@ def _needs_literal(text: Column, records: Column) -> Column:
     return ~F.coalesce(plain, F.lit(False))
 
 
+def _read_exactly(staged: DataFrame) -> DataFrame:
+    """Add to ``_text`` its ``_records`` (null: none can be read) and ``_flags``, whether it is sure that it ``_fails``, and whether
+    it was left ``_unread`` by the JVM and what Python made of it (``_literal``)."""
+    text, shape, read = F.col("_text"), F.col("_shape"), F.col("_read")
+    staged = staged.select("*", json_objects(text).alias("_json"))
+    staged = staged.select("*", _needs_literal(text, F.col("_json")).alias("_hard"))
+    known = F.col("_hard") & ~text.rlike(_ODD_LETTERS)
+    staged = staged.select("*", F.when(known, _shape(text)).alias("_shape"))
+    triple = F.contains(text, F.lit("\'\'\'")) | F.contains(text, F.lit('"""')) | F.contains(text, F.lit("#"))
+    staged = staged.select(
+        "*", _of_shape(F.when(shape.isNotNull(), text), shape).alias("_read"),
+        F.coalesce(shape.isin("", _N, _C) | (shape.rlike(_BAD_NAME) & ~triple), F.lit(False)).alias("_fails"))
+    unread = F.col("_hard") & read.isNull() & ~F.col("_fails")
+    staged = staged.select("*", unread.alias("_unread"), _literal_records(F.when(unread, text)).alias("_literal"))
+    signed = F.exists(read, lambda r: F.exists(F.map_values(r), _signed))
+    return staged.select(
+        "*", F.when(F.col("_unread"), F.col("_literal.records")).when(F.col("_fails"), F.lit(None))
+        .when(F.col("_hard"), F.when(signed, _plain_values(read)).otherwise(read)).otherwise(F.col("_json")).alias("_records"),
+        F.when(F.col("_unread"), F.col("_literal.literals")).when(signed, _value_flags(read)).alias("_flags"))
+
+
 def with_parsed_answer(
     df: DataFrame, answer: str = "pred_output_as_string", mode: str = "exact", null_words: str = "compat",
 ) -> DataFrame:
     """Add ``y_pred``, ``conversion_status`` and ``error_message``.
 
-    ``exact`` reads the answer as a Python literal. Answers made of plain quoted strings are read by the JVM's JSON
-    parser, which gives the same records; only the others are sent to Python. ``native`` uses the JSON parser for all:
-    there ``true`` parses, numbers lose their point, and a trailing comma, ``None``, a bare object or a bare string
-    fail.
+    ``exact`` reads the answer as a Python literal. Three readers share the work and give the same records: answers made of plain
+    quoted strings go to the JVM's JSON parser as they are. Of the others the JVM takes the shape, that is the text with signs for its strings,
+    numbers and constants. Flat records of a valid shape are rewritten as JSON and parsed; a name outside strings, a lone number or
+    nothing at all is sure to fail. Only what is left goes to Python: nested values, unusual numbers and escapes, joined or
+    prefixed strings, comments. ``native`` uses the JSON parser for all: there ``true`` parses, numbers lose their point, and a
+    trailing comma, ``None``, a bare object or a bare string fail.
     """
     if mode not in ("exact", "native"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -128,16 +223,12 @@ def with_parsed_answer(
         normal = normalized(F.col("_records"))
         error = F.when(F.col("_records").isNull(), F.lit(_NOT_A_LIST)).otherwise(F.lit(""))
     else:
-        staged = staged.select("*", json_objects(F.col("_text")).alias("_json"))
-        staged = staged.select("*", _needs_literal(F.col("_text"), F.col("_json")).alias("_hard"))
-        staged = staged.select("*", _literal_records(F.when(F.col("_hard"), F.col("_text"))).alias("_literal"))
-        hard = F.col("_hard")
-        staged = staged.select(
-            "*", F.when(hard, F.col("_literal.records")).otherwise(F.col("_json")).alias("_records"))
-        normal = F.when(hard, normalized(F.col("_records"), F.col("_literal.literals"))) \
-            .otherwise(normalized(F.col("_records")))
+        staged = _read_exactly(staged)
+        normal = F.when(F.col("_flags").isNull(), normalized(F.col("_records"))) \
+            .otherwise(normalized(F.col("_records"), F.col("_flags")))
         error = F.when(F.col(answer).isNull(), F.lit(_NOT_A_LIST)) \
-            .when(hard, F.coalesce(F.col("_literal.error"), F.lit(""))).otherwise(F.lit(""))
+            .when(F.col("_unread"), F.coalesce(F.col("_literal.error"), F.lit(""))) \
+            .when(F.col("_fails"), F.lit(_MALFORMED)).otherwise(F.lit(""))
     return staged.select(
         *df.columns, normal.alias("y_pred"),
         F.when(F.col("_records").isNull(), F.lit(FAILED)).otherwise(F.lit(OK)).alias("conversion_status"),

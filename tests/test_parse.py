@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.functions import parse
 from tallymark.functions.parse import cleaned_answer, first_list, with_parsed_answer
 
 FAIL = None
@@ -59,6 +60,24 @@ def test_exact_mode_has_one_python_step(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_python_reads_only_what_the_jvm_cannot(spark):
+    """Of the golden rows Python reads the joined strings, the inner object and the odd escape, and the list with an object as text."""
+    df = spark.createDataFrame([(i, a) for i, a, _, _ in GOLDEN], "id string, answer string")
+    staged = df.select("id", first_list(cleaned_answer(F.col("answer"))).alias("_text"))
+    left = {r["id"] for r in parse._read_exactly(staged).where("_unread").collect()}
+    assert left == {"joined strings", "inner object", "escape", "object as text"}
+
+
+def test_long_literals(spark):
+    """Ten thousand records with numbers, and a string of a million letters, need no deep stack."""
+    many = "[" + ", ".join(f"{{'kriterium': 'k{i}', 'maxPunkte': {i}.5,}}" for i in range(10000)) + "]"
+    long = "[{'kriterium': None, 'x': '" + "a\\'b " * 250000 + "'}]"
+    df = spark.createDataFrame([(1, many), (2, long)], "id int, answer string")
+    got = {r["id"]: r["y_pred"] for r in with_parsed_answer(df, "answer").collect()}
+    assert len(got[1]) == 10000 and got[1][7] == {"kriterium": "k7", "maxPunkte": "7.5"}
+    assert got[2] == [{"kriterium": "", "x": "a'b " * 250000}]
+
+
 def test_null_answer_fails(spark):
     df = spark.createDataFrame([(None,)], "pred_output_as_string string")
     for mode in ("exact", "native"):

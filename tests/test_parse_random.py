@@ -43,7 +43,7 @@ def plain(answer):
                 elif key == "kriterium":
                     value = value.replace("\n-", "").replace("-\n", "")
             values.append(bool(value))
-            kept[str(key)] = "" if value is None else str(value)
+            kept[str(key).encode("utf-8", "replace").decode()] = "" if value is None else str(value).encode("utf-8", "replace").decode()
         if any(values):
             out.append(kept)
     return "ok", out
@@ -68,3 +68,34 @@ def test_random_answers(spark):
                 wrong.append((answers[row["i"]], want, row["conversion_status"], row["y_pred"]))
     assert ok > 300
     assert not wrong, (len(wrong), wrong[:5])
+
+
+ODD = [
+    "[", "]", "{", "}", ":", ",", " ", '"k"', "'maxPunkte'", '"kriterium"', "1.50", "1e5", "-0", "+1", "- 1", "007", "1_000", "0x1f", "1j", ".5", "5.", "1.",
+    "0.00001", "0.0001", "-0.0", "12345678.5", "123456789.25", "9007199254740993", "123456789012345678901", "1+2j", "1-2", "not 1", "1 if 1 else 2",
+    '"a\\n"', '"a\\\\"', "'a\\''", '"a\\""', '"\\x41"', '"\\u00e4"', '"\\ud83d"', '"\\u12"', '"\\N{DASH}"', '"\\0"', '"\\/"', '"\\\\\\x"', "r'a\\d'", "u'x'",
+    "f'{1}'", "b'x'", '"""', "'''", "# true", "true", "set()", "set ()", "Falsey", "None", "False", "...", "\xa0", "ä", "\\", ";", "=", "=1", "*", "@", "(1)", "()",
+    '"{"', "'{\'a\': 1}'", '"a, }"', '": 5,"', "'\"k\": None'", '"\t"', "\x0c", "\x01", "\x02", "lambda: 0", "a.b", "1 .real", "True", "'%s'",
+]
+
+
+def test_random_literals(spark):
+    """Odd numbers, escapes, prefixes, comments, operators: whatever reads them, records and status are those of the plain reading."""
+    rng = random.Random(31)
+    shapes = [*SHAPES, '[{"k": %s}]', '[{"kriterium": %s,}, %s]', "[%s, {'k': %s}]", "{'k': %s}", '[{"k" : %s , %s: 1} ,]']
+    answers = [shape.replace("%s", "\0") for shape in shapes for _ in range(450)]
+    for i, shape in enumerate(answers):
+        while "\0" in shape:
+            shape = shape.replace("\0", "".join(rng.choices(ODD, k=rng.choice([1, 1, 1, 2, 3]))), 1)
+        answers[i] = shape
+    df = spark.createDataFrame(list(enumerate(answers)), "i int, pred_output_as_string string")
+    wrong, ok = [], 0
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for row in with_parsed_answer(df).collect():
+            want = plain(answers[row["i"]])
+            ok += want[0] == "ok" and bool(want[1])
+            if (row["conversion_status"], row["y_pred"]) != want:
+                wrong.append((answers[row["i"]], want, row["conversion_status"], row["y_pred"]))
+    assert ok > 300
+    assert not wrong, (len(wrong), wrong[:5])
