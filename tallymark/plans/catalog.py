@@ -14,7 +14,7 @@ from tallymark.functions import scores as S
 from tallymark.functions import text as X
 from tallymark.functions.parse import cleaned_answer, first_list, with_parsed_answer
 from tallymark.functions.vectors import label_catalogue, nearest_label
-from tallymark.operators import classify, metrics, pairs, prepare, prompting, reports, scoring
+from tallymark.operators import bayes, classify, metrics, pairs, prepare, prompting, reports, scoring
 from tallymark.plans import inputs
 from tallymark.plans.inputs import PAGE_KEY
 from tallymark.session import scratch_path, written
@@ -635,14 +635,55 @@ def train_predict(spark, sf):
     return found.select(F.col("row_idx").alias("doc_id"), "split", "label", "predicted_label", "model_name_or_path")
 
 
+def _bayes_predictions(spark, sf) -> DataFrame:
+    rows = _training_rows(spark, sf)
+    model = bayes.train_texts(spark, _split(rows, "train"))
+    held_out = rows.where(F.col("split") != "train")
+    return bayes.predict(model, held_out, "row_idx", "text", "hashed-words+bayes", ("split", "label"))
+
+
 @query
-def vector_classifier(spark, sf):
-    """M2, M3, M6 on stored embeddings, with metrics per split."""
+def bayes_weights(spark, sf):
+    """M3, M4: the whole text model: count and weight of every class and feature, out of one grouped aggregation."""
+    model = bayes.train_texts(spark, _split(_training_rows(spark, sf), "train"))
+    return model.features.select("label", "feature", "n", F.round("weight", 9).alias("weight"))
+
+
+@query
+def bayes_predict(spark, sf):
+    """M2, M3, M4, M6: train on words in closed form, predict validation and test."""
+    return _bayes_predictions(spark, sf).withColumnRenamed("row_idx", "doc_id")
+
+
+@query
+def bayes_metrics(spark, sf):
+    """M4, M6, A3: metrics of the text model on validation and test."""
+    found = written(spark, _bayes_predictions(spark, sf), "predictions")
+    return metrics.long_metrics(metrics.wide_metrics(found, "label", "predicted_label", ("split",)), ("split",)).withColumn(
+        "score", F.round("score", 9))
+
+
+def _vector_rows(spark, sf) -> DataFrame:
     rows = inputs.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_idx"), F.col("vec_id").cast("string").alias("text_key"),
         F.col("label").cast("string").alias("label"), "embedding")
-    rows = written(spark, prepare.stratified_split(rows, SEED), "vectors", ("split",))
-    rows = classify.vector_features(rows, "embedding")
+    return written(spark, prepare.stratified_split(rows, SEED), "vectors", ("split",))
+
+
+@query
+def vector_bayes(spark, sf):
+    """M2, M3, M4, M6 on stored embeddings: means and variances by class, predictions of a model that was saved and loaded."""
+    rows, path = _vector_rows(spark, sf), scratch_path(spark, "bayes")
+    bayes.train_vectors(spark, _split(rows, "train")).save(path)
+    found = bayes.predict(
+        bayes.BayesModel.load(spark, path), rows.where(F.col("split") != "train"), "row_idx", "embedding", "embedding+bayes", ("split", "label"))
+    return found.withColumnRenamed("row_idx", "vec_id")
+
+
+@query
+def vector_classifier(spark, sf):
+    """M2, M3, M6 on stored embeddings, with metrics per split."""
+    rows = classify.vector_features(_vector_rows(spark, sf), "embedding")
     model = classify.train(_split(rows, "train"), {"reg_param": 0.01}, text=None)
     found = classify.predict(
         model, rows.where(F.col("split") != "train"), classify.class_table(rows), "embedding+logistic")

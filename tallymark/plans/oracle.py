@@ -392,6 +392,38 @@ SELECT x.doc_id, y.doc_id, CAST(0 AS INT), CAST(iteration AS INT)
 FROM line x, turns JOIN apart y ON y.label = x.label AND y.at = (x.place + iteration) % (x.total - x.size)"""
 
 
+def _split_of(source: str, key: str) -> str:
+    """``source`` (``doc_id``, ``label``, the text ``key``) with its seeded stratified split."""
+    return _SPLITS[_SPLITS.index("sizes AS"):].replace("FROM firsts", f"FROM {source}").replace("'42:' || text_key", f"'42:' || {key}")
+
+
+# Counts by class and hashed word; a word that a class never had weighs as much as one more of nothing.
+_BAYES = f"""{_SPLITS},
+words AS (SELECT doc_id, label, split, substr(md5(w), 1, 4) AS feature FROM (SELECT doc_id, label, split,
+  unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM splits)),
+counts AS (SELECT label, feature, CAST(count(*) AS BIGINT) AS n FROM words WHERE split = 'train' GROUP BY ALL),
+priors AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior, coalesce((SELECT sum(n) FROM counts c WHERE c.label = s.label), 0) AS total
+  FROM splits s WHERE split = 'train' GROUP BY label),
+weights AS (SELECT label, feature, n, ln((n + 1.0::DOUBLE) / (total + 65536.0::DOUBLE)) AS weight FROM counts JOIN priors USING (label)),
+asked AS (SELECT s.doc_id, s.split, s.label AS truth, p.label, p.prior, p.total FROM splits s, priors p WHERE split <> 'train'),
+gains AS (SELECT w.doc_id, p.label, sum(coalesce(weight, ln(1.0::DOUBLE / (total + 65536.0::DOUBLE)))) AS gain
+  FROM words w, priors p LEFT JOIN weights x ON x.label = p.label AND x.feature = w.feature WHERE w.split <> 'train' GROUP BY ALL),
+guessed AS (SELECT doc_id, split, truth AS label, a.label AS predicted_label FROM asked a LEFT JOIN gains g USING (doc_id, label)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY prior + coalesce(gain, 0) DESC, a.label) = 1)"""
+
+
+def _vector_bayes() -> str:
+    return f"""WITH vectors AS (SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS label, CAST(vec_id AS VARCHAR) AS text_key, embedding
+  FROM embeddings), {_split_of('vectors', 'text_key')},
+cells AS (SELECT doc_id, label, split, unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM splits),
+known AS (SELECT label, place, avg(x) AS m, greatest(var_pop(x), 1e-9) AS v FROM cells WHERE split = 'train' GROUP BY ALL),
+priors AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM splits WHERE split = 'train' GROUP BY label),
+sums AS (SELECT c.doc_id, c.split, c.label AS truth, k.label, sum(-(x - m) * (x - m) / (v * 2) - ln(v * 2 * pi()) / 2) AS gain
+  FROM cells c JOIN known k USING (place) WHERE c.split <> 'train' GROUP BY ALL)
+SELECT doc_id AS vec_id, split, truth AS label, s.label AS predicted_label, 'embedding+bayes' AS model_name_or_path
+FROM sums s JOIN priors p ON p.label = s.label QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY prior + gain DESC, s.label) = 1"""
+
+
 _LETTERS = "(length(page) - length(replace(page, 'e', '')))"
 _STUB = """
 asked AS (SELECT doc_id AS row_id, {keep} text AS page, prompt_id, k FROM {source}, (VALUES {names}) v(prompt_id, k)),
@@ -582,5 +614,9 @@ def build() -> dict[str, str]:
         "generated_answers": f"WITH {_stub('documents', '', [p.prompt_id for p in PROMPTS])} "
                              "SELECT row_id AS doc_id, prompt_id, answer FROM stub",
         "extraction_run": _extraction_run(),
+        "bayes_weights": f"{_BAYES} SELECT label, feature, n, round(weight, 9) AS weight FROM weights",
+        "bayes_predict": f"{_BAYES} SELECT doc_id, split, label, predicted_label, 'hashed-words+bayes' AS model_name_or_path FROM guessed",
+        "bayes_metrics": f"{_BAYES}, {_metric_sql('guessed', 'label', 'predicted_label', 'split')} {_unpivot('split', 9)}",
+        "vector_bayes": _vector_bayes(),
     }
     return {name: text.strip() for name, text in out.items()}
