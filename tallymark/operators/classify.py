@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.answers import best_class
 from tallymark.operators.metrics import macro_f1
+from tallymark.operators.search import Trial, best_trial, run_search
 
 MAX_ITER = 100
 # What the search draws from: from hardly any to strong regularisation, and from a rough to a full fit.
@@ -111,6 +112,38 @@ def search(
     return PipelineModel(stages=[*features.stages, best[1]]), best[2], trials
 
 
+def search_adaptively(
+    train_df: DataFrame, validation_df: DataFrame, n_trials: int, seed: int = 42, space: Mapping = SPACE, text: str = "text",
+    shares: Sequence[float] = (0.25, 1.0), key: str = "text_key",
+) -> tuple[PipelineModel, dict, list[Trial]]:
+    """Like ``search``, but each trial is drawn from what the earlier ones showed, and is stopped early if it is poor.
+
+    A rung is a share of the training rows, the same rows for all trials, taken by the hash of ``key``; the last must be all of them. Only
+    trials that pass the lower rungs are fitted on all rows. The best trial's model is kept from its fit.
+    """
+    if not shares or shares[-1] != 1.0:
+        raise ValueError("the last share must be 1: the best model is one fitted on all rows")
+    features = Pipeline(stages=text_stages(text)).fit(train_df)
+    place = F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    seen = features.transform(train_df).select("label_id", "features", place.alias("_place")).persist()
+    unseen = features.transform(validation_df).select("label_id", "features").persist()
+    best: list = []
+
+    def objective(params: dict, rung: int) -> float:
+        fitted = head(params).fit(seen.where(F.col("_place") < shares[rung]))
+        answers = fitted.transform(unseen).select(
+            "label_id", best_class(vector_to_array("probability")).alias("predicted_id"))
+        score = macro_f1(answers, "label_id", "predicted_id").first()["macro_f1"]
+        if rung == len(shares) - 1 and (not best or score > best[0]):
+            best[:] = [score, fitted]
+        return score
+
+    history = run_search(objective, space, n_trials, len(shares), seed)
+    seen.unpersist()
+    unseen.unpersist()
+    return PipelineModel(stages=[*features.stages, best[1]]), best_trial(history).params, history
+
+
 def model_path(path: str, category: str, model_name: str) -> str:
     return f"{path}/{category}/{model_name.replace('/', '_')}"
 

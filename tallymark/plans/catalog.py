@@ -14,7 +14,7 @@ from tallymark.functions import scores as S
 from tallymark.functions import text as X
 from tallymark.functions.parse import cleaned_answer, first_list, with_parsed_answer
 from tallymark.functions.vectors import label_catalogue, nearest_label
-from tallymark.operators import bayes, classify, metrics, pairs, prepare, prompting, reports, scoring
+from tallymark.operators import bayes, classify, metrics, pairs, prepare, prompting, reports, scoring, search
 from tallymark.plans import inputs
 from tallymark.plans.inputs import PAGE_KEY
 from tallymark.session import scratch_path, written
@@ -711,6 +711,49 @@ def search_trials(spark, sf):
         "trial int, in_range boolean, has_score boolean")
 
 
+# What the closed-form search draws from: shrinkage, power of the quantity, and how much of the mean price is taken off first.
+FIT_SPACE = {"reg": ("log", 1e-3, 1e3), "degree": ("int", 1, 3), "centre": ("choice", (0.0, 0.5, 1.0))}
+FIT_TRIALS = 12
+
+
+def _fit_sums(spark, sf) -> dict:
+    """Sums of powers of quantity and of price in cents, by part of the lines: each rung of the training lines holds the one before."""
+    order = F.col("l_orderkey")
+    part = F.when(order % 5 == 0, F.lit(-1)).when(order % 9 == 1, F.lit(0)).when(order % 3 == 1, F.lit(1)).otherwise(F.lit(2))
+    lines = inputs.table(spark, sf, "lineitem").select(
+        part.alias("part"), F.col("l_quantity").cast("long").alias("x"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("y"),
+        F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("degree"))
+    f = F.when(F.col("degree") == 1, F.col("x")).when(F.col("degree") == 2, F.col("x") * F.col("x")).otherwise(F.col("x") * F.col("x") * F.col("x"))
+    lines = lines.select("part", "degree", "y", f.alias("f"))
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    rows = lines.groupBy("part", "degree").agg(
+        F.count(F.lit(1)).alias("n"), exact(F.col("f")).alias("f"), exact(F.col("y")).alias("y"), exact(F.col("f") * F.col("f")).alias("ff"),
+        exact(F.col("f") * F.col("y")).alias("fy"), exact(F.col("y") * F.col("y")).alias("yy"))
+    return {(r["part"], r["degree"]): {k: int(r[k]) for k in ("n", "f", "y", "ff", "fy", "yy")} for r in rows.collect()}  # 12 rows
+
+
+@query
+def adaptive_search(spark, sf):
+    """M5: a search that learns from its trials, for a shrunken fit of price by quantity; its score, the explained share of the variance of the
+    held-out lines, follows from sums that one aggregation gives. Every trial with its parameters, its rungs and its score."""
+    sums = _fit_sums(spark, sf)
+
+    def objective(params, rung):
+        rows = [sums[k, params["degree"]] for k in range(rung + 1) if (k, params["degree"]) in sums]
+        t = {k: float(sum(r[k] for r in rows)) for k in ("n", "f", "y", "ff", "fy")}
+        v = {k: float(x) for k, x in sums[-1, params["degree"]].items()}
+        c = params["centre"] * (t["y"] / t["n"])
+        w = (t["fy"] - c * t["f"]) / (t["ff"] * (1.0 + params["reg"]))
+        loss = v["yy"] - 2.0 * c * v["y"] + v["n"] * c * c - 2.0 * w * (v["fy"] - c * v["f"]) + w * w * v["ff"]
+        return 1.0 - loss / (v["yy"] - v["y"] * v["y"] / v["n"])
+
+    history = search.run_search(objective, FIT_SPACE, FIT_TRIALS, rungs=3, seed=SEED)
+    best = search.best_trial(history)
+    return spark.createDataFrame([
+        (t.number, round(t.params["reg"], 9), t.params["degree"], t.params["centre"], len(t.scores), round(t.scores[-1], 9), t is best)
+        for t in history], "trial int, reg double, degree int, centre double, rungs int, score double, is_best boolean")
+
+
 @query
 def saved_model(spark, sf):
     """Predictions of a model that was saved and loaded, and whether they are those of the model itself."""

@@ -468,6 +468,55 @@ SELECT {_PROMPT} AS "Prompt", presence AS "Criteria Presence", round(avg(f1_macr
 FROM tagged GROUP BY ALL"""
 
 
+def _adaptive_search(trials: int = 12, startup: int = 4, candidates: int = 8, keep: int = 3, seed: int = 42) -> str:
+    """One table per trial, each from those before: ranks, weights of the bins, candidates, and the scores of the rungs."""
+    bins = {"reg": 8, "degree": 8, "centre": 3}
+
+    def unit(t: int, name: str, k: str) -> str:
+        return f"CAST('0x' || substr(md5('{seed}:{t}:{name}:' || {k}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+    ctes = ["""
+lines AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN -1 WHEN l_orderkey % 9 = 1 THEN 0 WHEN l_orderkey % 3 = 1 THEN 1 ELSE 2 END AS part,
+  CAST(l_quantity AS BIGINT) AS x, CAST(round(l_extendedprice * 100) AS BIGINT) AS y FROM lineitem),
+powers AS (SELECT part, y, degree, CASE degree WHEN 1 THEN x WHEN 2 THEN x * x ELSE x * x * x END AS f FROM lines, (VALUES (1), (2), (3)) d(degree)),
+held AS (SELECT degree, CAST(count(*) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS f, CAST(sum(y) AS DOUBLE) AS y, CAST(sum(f * f) AS DOUBLE) AS ff,
+  CAST(sum(f * y) AS DOUBLE) AS fy, CAST(sum(y * y) AS DOUBLE) AS yy FROM powers WHERE part = -1 GROUP BY degree),
+seen AS (SELECT rung, degree, CAST(count(*) AS DOUBLE) AS n, CAST(sum(f) AS DOUBLE) AS f, CAST(sum(y) AS DOUBLE) AS y, CAST(sum(f * f) AS DOUBLE) AS ff,
+  CAST(sum(f * y) AS DOUBLE) AS fy FROM powers, (VALUES (0), (1), (2)) r(rung) WHERE part BETWEEN 0 AND rung GROUP BY rung, degree)"""]
+    for t in range(trials):
+        past = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(t)) or "SELECT * FROM (SELECT 0 AS trial, 0 AS reached) WHERE false"
+        if t < startup:
+            units = ", ".join(f"{unit(t, name, repr('0'))} AS u_{name}" for name in bins)
+            ctes.append(f"u{t} AS (SELECT {units})")
+        else:
+            ctes.append(f"""h{t} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY reached DESC, score DESC, trial) <= ceil({t} / 4.0) AS good
+  FROM ({past}))""")
+            for name, n in bins.items():
+                near = "WHEN abs(p - b) = 1 THEN 0.5" if name != "centre" else ""
+                place = f"least(CAST(floor(u_{name} * {n}) AS INT), {n - 1})"
+                ctes.append(f"""w{t}_{name} AS MATERIALIZED (SELECT b, 1 + coalesce(sum(hit) FILTER (good), 0) AS g, 1 + coalesce(sum(hit) FILTER (NOT good), 0) AS r
+  FROM (SELECT b, good, CASE WHEN p = b THEN 1.0 {near} ELSE 0.0 END AS hit FROM range({n}) x(b), (SELECT {place} AS p, good FROM h{t})) GROUP BY b),
+d{t}_{name} AS MATERIALIZED (SELECT b, CAST(g AS DOUBLE) AS g, CAST(sum(g) OVER () AS DOUBLE) AS gs, CAST(r AS DOUBLE) AS r, CAST(sum(r) OVER () AS DOUBLE) AS rs,
+  CAST(sum(g) OVER (ORDER BY b) AS DOUBLE) AS upto FROM w{t}_{name}),
+c{t}_{name} AS (SELECT k, draw, least((SELECT count(*) FROM d{t}_{name} WHERE upto / gs <= draw), {n - 1}) AS b
+  FROM (SELECT k, {unit(t, name, "k")} AS draw FROM range(1, {candidates + 1}) x(k))),
+u{t}_{name} AS (SELECT (b + least((draw - (upto - g) / gs) / (g / gs), 1.0)) / {n}.0::DOUBLE AS u_{name} FROM c{t}_{name} JOIN d{t}_{name} USING (b)
+  ORDER BY (g / gs) / (r / rs) DESC, k LIMIT 1)""")
+            ctes.append(f"u{t} AS (SELECT * FROM {', '.join(f'u{t}_{name}' for name in bins)})")
+        ctes.append(f"""p{t} AS (SELECT *, exp(ln(0.001::DOUBLE) + u_reg * (ln(1000.0::DOUBLE) - ln(0.001::DOUBLE))) AS reg,
+  1 + least(CAST(floor(u_degree * 3) AS INT), 2) AS degree, [0.0, 0.5, 1.0][least(CAST(floor(u_centre * 3) AS INT), 2) + 1]::DOUBLE AS centre FROM u{t}),
+f{t} AS (SELECT rung, v.*, centre * (s.y / s.n) AS c, (s.fy - centre * (s.y / s.n) * s.f) / (s.ff * (1.0 + reg)) AS w
+  FROM p{t} p JOIN seen s ON s.degree = p.degree JOIN held v ON v.degree = p.degree),
+s{t} AS MATERIALIZED (SELECT list(1.0 - (yy - 2.0 * c * y + n * c * c - 2.0 * w * (fy - c * f) + w * w * ff) / (yy - y * y / n) ORDER BY rung) AS s FROM f{t}),
+g{t} AS (SELECT s, {", ".join(f"(SELECT count(*) FILTER (q.s{r} > x.s[{r + 1}]) < ceil((count(q.s{r}) + 1) / {keep}.0) FROM ({past}) q)" if t else "true" for r in (0, 1)) .replace(", (SELECT", " AS on0, (SELECT").replace(", true", " AS on0, true")} AS on1 FROM s{t} x),
+t{t} AS MATERIALIZED (SELECT {t} AS trial, u_reg, u_degree, u_centre, reg, degree, centre, CASE WHEN NOT on0 THEN 1 WHEN NOT on1 THEN 2 ELSE 3 END AS reached,
+  s[1] AS s0, CASE WHEN on0 THEN s[2] END AS s1, CASE WHEN on0 AND on1 THEN s[3] END AS s2, s[CASE WHEN NOT on0 THEN 1 WHEN NOT on1 THEN 2 ELSE 3 END] AS score
+  FROM p{t}, g{t})""")
+    every = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(trials))
+    return f"""WITH {','.join(ctes)} SELECT CAST(trial AS INT) AS trial, round(reg, 9) AS reg, CAST(degree AS INT) AS degree, centre, CAST(reached AS INT) AS rungs,
+  round(score, 9) AS score, row_number() OVER (ORDER BY reached DESC, score DESC, trial) = 1 AS is_best FROM ({every})"""
+
+
 def build() -> dict[str, str]:
     t_text, p_text = _lists(_sentence)
     span = _span_sql()
@@ -618,5 +667,6 @@ def build() -> dict[str, str]:
         "bayes_predict": f"{_BAYES} SELECT doc_id, split, label, predicted_label, 'hashed-words+bayes' AS model_name_or_path FROM guessed",
         "bayes_metrics": f"{_BAYES}, {_metric_sql('guessed', 'label', 'predicted_label', 'split')} {_unpivot('split', 9)}",
         "vector_bayes": _vector_bayes(),
+        "adaptive_search": _adaptive_search(),
     }
     return {name: text.strip() for name, text in out.items()}
