@@ -14,7 +14,9 @@ from tallymark.functions import scores as S
 from tallymark.functions import text as X
 from tallymark.functions.parse import cleaned_answer, first_list, with_parsed_answer
 from tallymark.functions.vectors import label_catalogue, nearest_label
-from tallymark.operators import bayes, classify, metrics, pairs, prepare, prompting, reports, scoring, search
+from tallymark.operators import (
+    bayes, classify, contrastive, metrics, pairs, prepare, prompting, reports, scoring, search,
+)
 from tallymark.plans import inputs
 from tallymark.plans.inputs import PAGE_KEY
 from tallymark.session import scratch_path, written
@@ -95,6 +97,29 @@ def page_name_parts(spark, sf):
     )
 
 
+def _stored_pages(spark, sf) -> str:
+    path = scratch_path(spark, "page-files")
+    host = F.regexp_replace(F.regexp_extract("url", "^[^/]*//([^/?#]*)", 1), "[^A-Za-z0-9.-]", "-")
+    name = F.concat(F.col("page_id").cast("string"), F.lit("_"), host, F.lit(".txt"))
+    page_files.write_page_folder(inputs.table(spark, sf, "pages").select(name.alias("filename"), F.col("html").alias("text")), path)
+    return path
+
+
+@query
+def stored_pages(spark, sf):
+    """Pages written as one file each by name, and read back with the parts of their names."""
+    found = page_files.page_folder(spark, _stored_pages(spark, sf), NEGATIVE)
+    return found.select("filename", "tender_id", "document", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label")
+
+
+@query
+def pages_by_name(spark, sf):
+    """Stored pages whose name is asked for; the filter is answered from the folder's list, before files are opened."""
+    found = page_files.page_folder(spark, _stored_pages(spark, sf))
+    some = found.where(F.col("tender_id").startswith("1") & F.col("document").contains("a"))
+    return some.select("filename", "tender_id", "document", F.length("text").alias("text_length"))
+
+
 @query
 def stored_page_splits(spark, sf):
     """Pages written as JSON lines, read back, cleaned by the stripped text and split."""
@@ -616,6 +641,37 @@ def pair_table(spark, sf):
     return pairs.pair_table(rows, 2, SEED)
 
 
+def _contrastive(spark, rows: DataFrame):
+    train = _split(rows, "train")
+    partners = pairs.pair_table(train.select("text_key", "row_idx", "label"), 2, SEED)
+    stored = contrastive.vector_pairs(spark, partners, train)
+    width = train.select(F.max(F.size("embedding"))).first()[0]
+    return contrastive.train(stored, contrastive.first_projection(width, 16, SEED), rounds=8)
+
+
+@query
+def contrastive_rounds(spark, sf):
+    """M7 and the training it feeds: pairs and mean cost of every round of a projection of stored vectors; the cost falls."""
+    _, history = _contrastive(spark, _vector_rows(spark, sf))
+    return spark.createDataFrame(
+        [(r.number, r.pairs, r.loss, r.number == 0 or r.loss < history[k - 1].loss) for k, r in enumerate(history)],
+        "round int, pairs long, loss double, falls boolean")
+
+
+@query
+def contrastive_heads(spark, sf):
+    """M3, M7: the same closed-form head on plain vectors and on projected ones: metrics on validation and test."""
+    rows = _vector_rows(spark, sf)
+    w, _ = _contrastive(spark, rows)
+    after = written(spark, rows.withColumn("embedding", contrastive.projected(F.col("embedding"), w)), "projected", ("split",))
+    frames = []
+    for name, some in (("plain", rows), ("projected", after)):
+        model = bayes.train_vectors(spark, _split(some, "train"))
+        found = bayes.predict(model, some.where(F.col("split") != "train"), "row_idx", "embedding", name, ("split", "label"))
+        frames.append(metrics.long_metrics(metrics.wide_metrics(found, "label", "predicted_label", ("split",)), ("split",)).withColumn("head", F.lit(name)))
+    return frames[0].unionByName(frames[1])
+
+
 def _training_rows(spark, sf) -> DataFrame:
     """Split texts, stored once because training reads them many times."""
     return written(spark, _splits(spark, sf, "text"), "training", ("split",))

@@ -468,6 +468,10 @@ SELECT {_PROMPT} AS "Prompt", presence AS "Criteria Presence", round(avg(f1_macr
 FROM tagged GROUP BY ALL"""
 
 
+_PAGE_FILES = """WITH named AS (SELECT html, CAST(page_id AS VARCHAR) AS tender_id,
+  regexp_replace(regexp_extract(url, '^[^/]*//([^/?#]*)', 1), '[^A-Za-z0-9.-]', '-', 'g') AS document FROM pages)"""
+
+
 def _adaptive_search(trials: int = 12, startup: int = 4, candidates: int = 8, keep: int = 3, seed: int = 42) -> str:
     """One table per trial, each from those before: ranks, weights of the bins, candidates, and the scores of the rungs."""
     bins = {"reg": 8, "degree": 8, "centre": 3}
@@ -534,6 +538,10 @@ def build() -> dict[str, str]:
             coalesce(array_to_string(list_sort(recs), ' '), '') AS records_text FROM raw""",
         "page_name_parts": """SELECT doc_id || '_' || source || '_' || lang || '.txt' AS filename,
             CAST(doc_id AS VARCHAR) AS tender_id, source || '_' || lang AS document FROM documents""",
+        "stored_pages": f"""{_PAGE_FILES} SELECT tender_id || '_' || document || '.txt' AS filename, tender_id, document,
+            md5(coalesce(html, '')) AS text_md5, 'has_no_criteria' AS label FROM named""",
+        "pages_by_name": f"""{_PAGE_FILES} SELECT tender_id || '_' || document || '.txt' AS filename, tender_id, document,
+            CAST(length(coalesce(html, '')) AS INT) AS text_length FROM named WHERE starts_with(tender_id, '1') AND contains(document, 'a')""",
         "extraction_store": f"""{_views_sql()} SELECT 'vendor/model-a' AS model, prompt_id, label_view,
             CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT failed) AS BIGINT) AS n_ok,
             CAST(sum(length(y_true_as_string)) AS BIGINT) AS true_chars,
