@@ -5,15 +5,16 @@ twice, from its front and from its back. An edit lies in the second half of a wo
 edits behind the first half, the back walk for the others, so no walk branches where the trie is dense.
 
 The trie keeps the places where words part or end and where a half ends; an edge carries the letters between two of them. A state is
-(word, position, node, edits). Level by level the states are joined with the edge table: with no edit yet, an edge is followed if its
-letters stand in the word, or stand there but for one replaced letter or one left out, which makes the one edit; after it the letters
-must stand there as they are. A state with one edit at the end of its word and at the end of a word of the trie is a
-neighbour. Only the longer word of a pair, or the smaller of two of one length, looks for the other: the pair is then
-entered both ways. Nodes are 64-bit hashes of prefixes, so two prefixes might share one; each hit is therefore compared
-as text, and what a shared hash adds falls out there.
+(word, position, node, edits). The states without an edit are the places on a word's own way, which the trie gives; joined with the edge
+table they make the one edit: an edge whose letters stand in the word but for one replaced letter or one left out. These
+states are then joined with the edge table level by level, and now the letters must stand there as they are. A state at the end of its
+word and at the end of a word of the trie is a neighbour. Only the longer word of a pair, or the smaller of two of one
+length, looks for the other: the pair is then entered both ways. Nodes are 64-bit hashes of prefixes, so two prefixes might
+share one; each hit is therefore compared as text, and what a shared hash adds falls out there.
 
-A node with more than 1/256 of a level's states is dealt over salts, with a copy of its edges (at most one per letter) for each. The
-number of levels is that of the partings along a word, not of its letters, so long words need no more levels.
+A node on the way of more than 1/256 of all words is dealt over salts, with a copy of its edges (at most one per letter) for each. With
+one edit a state asks for one letter of a node; what still meets there is split by the skew join. The number of levels is
+that of the partings along a word, not of its letters, so long words need no more levels.
 
 Defined cases: null and empty texts have no words; a null id writes as nothing before the colon of the edit rule; repeated rows count
 each; of neighbours with equal counts the first in code-point order is the form; an empty table gives an empty table; other
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.words import mix, small_batches
-from tallymark.operators.skew import salted_lookup
+from tallymark.operators.skew import HOT_SHARE, salted_lookup
 from tallymark.session import written
 
 MIN_LENGTH = 5
@@ -120,9 +121,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
 
 
-def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The walks (``tid``, ``back``, ``text``, ``n``, ``half``, ``path``) and the edges (``node``, ``child``, ``label``, ``ends``, ``low``,
-    ``high``: least and greatest number of letters from the child to the end of a word).
+def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The walks (``tid``, ``back``, ``text``, ``n``, ``half``, ``path``), the edges (``node``, ``child``, ``label``, ``ends``, ``low``,
+    ``high``: least and greatest number of letters from the child to the end of a word) and the hot nodes.
     """
     m = F.length("word")
     both = words.select("word", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).select(
@@ -132,10 +133,11 @@ def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     walks = written(spark, both, "walks")
     rows = written(spark, walks.select("tid", "back", "text", "half").mapInArrow(
         _prefixes, "tid bigint, node bigint, depth bigint, next bigint, half boolean"), "prefixes")
-    kept = rows.groupBy("node").agg(
-        F.min("next").alias("least"), F.max("next").alias("most"), F.bool_or("half").alias("forced"),
-    ).where("least <> most OR least = 0 OR forced").select("node", (F.col("least") == 0).alias("ends"))
-    steps = salted_lookup(rows.select("tid", "node", "depth"), kept, "node", "tid", "inner")
+    kept = written(spark, rows.groupBy("node").agg(
+        F.min("next").alias("least"), F.max("next").alias("most"), F.bool_or("half").alias("forced"), F.count(F.lit(1)).alias("n"),
+    ).where("least <> most OR least = 0 OR forced").select("node", (F.col("least") == 0).alias("ends"), "n"), "nodes")
+    hot = _hot_nodes(spark, kept, rows.count())
+    steps = _dealt_join(rows.select("tid", "node", "depth"), kept.drop("n"), hot)
     paths = steps.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct(F.col("depth").cast("int").alias("depth"), "node", "ends"))).alias("path"))
     walks = written(spark, walks.join(paths, "tid"), "paths")  # a path has at most one place per letter of its word
     pair = F.transform(F.slice("path", 1, F.size("path") - 1), lambda a, i: F.struct(a.alias("a"), F.get("path", i + 1).alias("b")))
@@ -145,55 +147,68 @@ def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.length("text") - F.col("p.b.depth")).alias("rest"))
     edges = steps.groupBy("node", "child").agg(
         F.min("label").alias("label"), F.bool_or("ends").alias("ends"), F.min("rest").alias("low"), F.max("rest").alias("high"))
-    return walks, written(spark, edges, "edges")
+    return walks, written(spark, edges, "edges"), hot
 
 
-def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
-    """One level: all states after one more edge that can still reach the end of a word within one edit."""
-    size = F.length("label")
-    here, more = F.substring("text", F.col("pos") + 1, size), F.substring("text", F.col("pos") + 1, size + 1)
-    # No edit before the half: the letters up to it must stand as they are.
-    before = F.greatest(F.col("half") - F.col("pos"), F.lit(0))
-    open_ = F.substring("text", F.col("pos") + 1, before) == F.substring("label", F.lit(1), before)
-    replaced = (F.length(here) == size) & (here < F.col("label")) & (F.levenshtein(here, "label", 1) == 1) & open_
-    left_out = (F.length(more) == size + 1) & (here != F.col("label")) & (F.levenshtein(more, "label", 1) == 1) & open_
+def _hot_nodes(spark: SparkSession, nodes: DataFrame, rows: int) -> DataFrame:
+    """``node``, ``salts`` of the nodes with more than 1/256 of all prefixes, so fewer than 256 of them."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.where(F.col("n") * HOT_SHARE > rows).select(
+        "node", (F.ceil(F.col("n") * tasks / F.lit(max(rows, 1))) + 1).cast("int").alias("salts"))
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
+    """An inner join on ``node``; rows of a hot node are dealt by their ``tid``, and the node's few rows of ``right`` copied to each salt."""
+    n = F.coalesce(F.col("salts"), F.lit(1))
+    dealt = left.join(F.broadcast(hot), "node", "left").withColumn("salt", F.pmod(F.xxhash64("tid"), n).cast("int")).drop("salts")
+    copied = right.join(F.broadcast(hot), "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return dealt.join(copied, ["node", "salt"]).drop("salt")
+
+
+_HERE, _MORE = "substring(text, pos + 1, length(label))", "substring(text, pos + 1, length(label) + 1)"
+
+
+def _one_edit(walks: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """The states after the one edit: those without an edit, at every place of a word's way, joined with the edges that go on from there."""
+    ways = walks.select("tid", "back", "text", "n", "half", F.explode("path").alias("p")).select(
+        "tid", "back", "text", "n", "half", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"), F.col("p.ends").alias("here_ends"))
+    here, more, size = F.expr(_HERE), F.expr(_MORE), F.length("label")
+    # No edit before the half: the ways begin there. The rest must fit the words behind the edge.
     rest = F.length("text") - F.col("pos") - size
+    replaced = (F.length(here) == size) & (here < F.col("label")) & rest.between(F.col("low"), F.col("high")) & (F.levenshtein(here, "label", 1) == 1)
+    left_out = (F.length(more) == size + 1) & (here != F.col("label")) & (rest - 1).between(F.col("low"), F.col("high")) & (F.levenshtein(more, "label", 1) == 1)
+    met = _dealt_join(ways.drop("here_ends"), edges, hot)
+    made = met.select(
+        "tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends",
+        F.explode(F.array_compact(F.array(F.when(replaced, F.col("pos") + size), F.when(left_out, F.col("pos") + size + 1)))).alias("pos"))
+    # The last letter left out: the word's own way ends a word one letter before its end.
+    last = ways.where("here_ends AND pos = length(text) - 1").select("tid", "back", "text", "n", "half", "node", F.col("here_ends").alias("ends"), F.length("text").alias("pos"))
+    return made.unionByName(last)
 
-    def fits(n):
-        return n.between(F.col("low"), F.col("high"))
-
-    state = F.array_compact(F.array(
-        F.when(here == F.col("label"), F.struct(F.lit(0).alias("edits"), (F.col("pos") + size).alias("pos"))),
-        F.when(replaced & fits(rest), F.struct(F.lit(1).alias("edits"), (F.col("pos") + size).alias("pos"))),
-        F.when(left_out & fits(rest - 1), F.struct(F.lit(1).alias("edits"), (F.col("pos") + size + 1).alias("pos"))),
-    ))
-    walk = ["tid", "back", "text", "n", "half"]
-    zero = salted_lookup(frontier.where("edits = 0").drop("ends"), edges, "node", "tid", "inner")
-    zero = zero.select(*walk, F.explode(state).alias("s"), F.col("child").alias("node"), "ends").select(
-        *walk, "s.pos", "node", "s.edits", "ends")
+
+def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """One level on: the edge that begins with the word's next letter, if all its letters stand there."""
     first = lambda c, at: F.xxhash64("node", F.substring(c, at, F.lit(1)))
-    one = salted_lookup(
-        frontier.where("edits = 1").withColumn("_key", first("text", F.col("pos") + 1)).drop("node", "ends"),
-        edges.withColumn("_key", first("label", F.lit(1))).drop("node"), "_key", "tid", "inner")
-    one = one.where((here == F.col("label")) & fits(rest)).select(
-        *walk, (F.col("pos") + size).alias("pos"), F.col("child").alias("node"), "edits", "ends")
-    return zero.union(one)
+    asked = frontier.withColumn("key", first("text", F.col("pos") + 1)).drop("node", "ends")
+    known = edges.withColumn("key", first("label", F.lit(1))).drop("node")
+    rest = F.length("text") - F.col("pos") - F.length("label")
+    met = asked.join(known, "key").where((F.expr(_HERE) == F.col("label")) & rest.between(F.col("low"), F.col("high")))
+    return met.select("tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends", (F.col("pos") + F.length("label")).alias("pos"))
 
 
 def neighbours(spark: SparkSession, words: DataFrame) -> DataFrame:
     """``word``, ``n``, ``near``, ``near_n`` for all pairs of distinct words (``word``, ``n``) that are one edit apart, both ways round."""
-    walks, edges = trie(spark, words)
-    start = F.get("path", F.lit(0))
-    frontier = walks.select("tid", "back", "text", "n", "half", F.col("half").alias("pos"), start["node"].alias("node"), F.lit(0).alias("edits"), start["ends"].alias("ends"))
-    m, hits = F.length("text"), None
-    hit = F.col("ends") & (((F.col("edits") == 1) & (F.col("pos") == m)) | ((F.col("edits") == 0) & (F.col("pos") == m - 1)))
+    walks, edges, hot = trie(spark, words)
+    at_end, hits = F.col("pos") == F.length("text"), None
+    frontier = _one_edit(walks, edges, hot)
     while True:
-        frontier = written(spark, _advanced(frontier, edges).where(hit | (F.col("pos") < m)), "level")
-        found = frontier.where(hit).select("back", "text", "n", "half", "node")
+        frontier = written(spark, frontier.where(~at_end | F.col("ends")), "level")
+        found = frontier.where(at_end).select("back", "text", "n", "half", "node")
         hits = found if hits is None else hits.union(found)
-        frontier = frontier.where(F.col("pos") < m)
+        frontier = frontier.where(~at_end)
         if frontier.isEmpty():
             break
+        frontier = _advanced(frontier, edges)
     turned = lambda c: F.when(F.col("back") == 1, F.reverse(c)).otherwise(F.col(c))
     ends = walks.select(F.element_at("path", -1)["node"].alias("node"), F.col("text").alias("near"), F.col("n").alias("near_n"))
     pairs = hits.join(ends, "node").where(F.levenshtein("text", "near", 1) == 1).select(
