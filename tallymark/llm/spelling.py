@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.words import mix, small_batches
+from tallymark.llm.words import mix, powers, slices, small_batches
 from tallymark.operators.skew import HOT_SHARE, salted_lookup
 from tallymark.session import written
 
@@ -47,7 +48,6 @@ _PART = 1 << 20
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _GAP = re.compile("[^a-zÀ-ÿ]")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(text: str) -> Iterator[str]:
@@ -105,20 +105,23 @@ def word_counts(
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All prefixes from the half on: node, depth, next letter (0 at the end of the word)."""
-    names = ["tid", "node", "depth", "next", "half"]
     for batch in batches:
-        tids, back, texts, half = (batch.column(k) for k in range(4))
-        rows: list[list[np.ndarray]] = []
-        for tid, b, text, h in zip(tids.to_pylist(), back.to_pylist(), texts.to_pylist(), half.to_pylist()):
-            letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            weights = np.multiply.accumulate(np.full(len(letters) + 1, _BASE))
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((letters + np.uint64(1)) * weights[:-1])])
-            depth = np.arange(h, len(letters) + 1)
-            following = np.concatenate([letters, [np.uint64(0)]])[h:]
-            rows.append([
-                np.full(len(depth), tid), mix(sums[h:] ^ np.uint64(b + 1)).view(np.int64), depth, following.astype(np.int64), depth == h])
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+        for start, stop in slices(batch.column(2)):
+            some = batch.slice(start, stop - start)
+            tids, back, half = (some.column(k).to_numpy() for k in (0, 1, 3))
+            letters = np.frombuffer("".join(some.column(2).to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            sizes = pc.utf8_length(some.column(2)).to_numpy().astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            up, down = powers(len(letters) + 1)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((letters + np.uint64(1)) * up[: len(letters)])])
+            count = sizes - half + 1
+            of = np.repeat(np.arange(len(sizes)), count)
+            depth = half[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            at = first[of] + depth
+            hashes = mix(((sums[at] - sums[first[of]]) * down[first[of]]) ^ (back[of] + 1).astype(np.uint64)).view(np.int64)
+            following = np.where(depth < sizes[of], np.append(letters, [np.uint64(0)])[at], np.uint64(0)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (tids[of], hashes, depth, following, depth == half[of])], ["tid", "node", "depth", "next", "half"])
 
 
 def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,7 +133,8 @@ def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame, D
         F.monotonically_increasing_id().alias("tid"), "back", "n",
         F.when(F.col("back") == 0, F.col("word")).otherwise(F.reverse("word")).alias("text"),
         F.when(F.col("back") == 0, F.floor(m / 2)).otherwise(m - F.floor(m / 2)).cast("int").alias("half"))
-    walks = written(spark, both, "walks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    walks = written(spark, both.repartition(tasks), "walks")  # short rows in few files: without it, a few tasks would make all prefixes
     rows = written(spark, walks.select("tid", "back", "text", "half").mapInArrow(
         _prefixes, "tid bigint, node bigint, depth bigint, next bigint, half boolean"), "prefixes")
     kept = written(spark, rows.groupBy("node").agg(
