@@ -118,7 +118,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.repeat(np.arange(len(sizes)), count)
             depth = half[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             at = first[of] + depth
-            hashes = mix(((sums[at] - sums[first[of]]) * down[first[of]]) ^ (back[of] + 1).astype(np.uint64)).view(np.int64)
+            hashes = mix(mix((sums[at] - sums[first[of]]) * down[first[of]]) + back[of].astype(np.uint64)).view(np.int64)
             following = np.where(depth < sizes[of], np.append(letters, [np.uint64(0)])[at], np.uint64(0)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c) for c in (tids[of], hashes, depth, following, depth == half[of])], ["tid", "node", "depth", "next", "half"])
@@ -214,8 +214,8 @@ def neighbours(spark: SparkSession, words: DataFrame) -> DataFrame:
             break
         frontier = _advanced(frontier, edges)
     turned = lambda c: F.when(F.col("back") == 1, F.reverse(c)).otherwise(F.col(c))
-    ends = walks.select(F.element_at("path", -1)["node"].alias("node"), F.col("text").alias("near"), F.col("n").alias("near_n"))
-    pairs = hits.join(ends, "node").where(F.levenshtein("text", "near", 1) == 1).select(
+    ends = walks.select("back", F.element_at("path", -1)["node"].alias("node"), F.col("text").alias("near"), F.col("n").alias("near_n"))
+    pairs = hits.join(ends, ["back", "node"]).where(F.levenshtein("text", "near", 1) == 1).select(
         "back", "half", turned("text").alias("word"), "n", turned("near").alias("near"), "near_n")
     # A letter left out of a run of equal letters over the half is found from both ends: the front walk's pair counts.
     front = F.length("word") - F.col("half")
