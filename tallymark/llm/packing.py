@@ -5,9 +5,10 @@ pieces there are of each length is a histogram of at most 1024 numbers, whatever
 program chooses how often to use each pattern (a multiset of lengths that fits one sequence); its columns are
 generated one at a time from a first-fit basis: the knapsack dynamic program finds the pattern of the greatest worth under the current
 prices, and the program ends within ``GAP`` of the lower bound. Pattern counts are rounded down, what is left is packed
-first-fit decreasing over the histogram. The driver handles this table of lengths only, never pieces.
+first-fit decreasing over the histogram. The driver handles this table of lengths only, never pieces, and only by element-wise
+array operations: a threaded matrix library beside the session's JVM can stand still.
 
-Each piece then finds its place by arithmetic: its rank among the pieces of its length (exact, in pieces of the id hash) tells
+Each piece then finds its place by arithmetic: its rank among the pieces of its length (exact, in parts of the id hash, as many as the rows need) tells
 which use of which pattern it is, by an equal join on the length with the table of patterns, at most a few thousand rows.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are packed each; null ids are ids of their own; an
@@ -31,8 +32,7 @@ from tallymark.session import written
 LENGTH = 1024
 END_ID = 0
 GAP = 0.001
-ROUNDS = 500
-PIECES = 256
+PIECE_ROWS = 1 << 15
 _TOKENIZERS: dict = {}
 
 
@@ -117,10 +117,15 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, length: int) -> tuple[fl
     return float(worth[length]), counts
 
 
-def _first_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fractional first-fit decreasing: each pattern is used until one of its sizes is used up, which gives a basis."""
+def _first_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Fractional first-fit decreasing: each pattern is used until one of its sizes is used up, which gives a basis.
+
+    The last result is the order in which sizes are used up. A pattern holds its own size and later ones only, so in that order
+    the basis is lower triangular.
+    """
     m = len(sizes)
     columns, used, left, live = np.diag((length // sizes).astype(float)), np.zeros(m), demand.astype(float).copy(), np.ones(m, bool)
+    order: list[int] = []
     while live.any():
         room, made = length, np.zeros(m)
         for k in np.flatnonzero(live)[::-1]:
@@ -131,39 +136,54 @@ def _first_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> tuple[
         columns[:, gone], used[gone] = made, share[gone]
         left = np.maximum(left - share[gone] * made, 0)
         live[gone], left[gone] = False, 0
+        order.append(gone)
         for k in np.flatnonzero(live & (left <= 1e-9)):  # used up at the same time: its own pattern, not used
             live[k] = False
-    return columns, used
+            order.append(int(k))
+    return columns, used, order
+
+
+def triangular_inverse(matrix: np.ndarray, order: list[int]) -> np.ndarray:
+    """The inverse of a matrix that is lower triangular with rows and columns in ``order``, by forward substitution."""
+    inverse = np.eye(len(matrix))
+    for t, k in enumerate(order):
+        inverse[k] /= matrix[k, k]
+        for row in order[t + 1:]:
+            if matrix[row, k]:
+                inverse[row] -= matrix[row, k] * inverse[k]
+    return inverse
 
 
 def column_generation(
-    sizes: np.ndarray, demand: np.ndarray, length: int = LENGTH, gap: float = GAP, rounds: int = ROUNDS,
+    sizes: np.ndarray, demand: np.ndarray, length: int = LENGTH, gap: float = GAP,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often the linear program uses each, by the revised simplex method.
 
     It starts from first-fit decreasing patterns. Prices are the dual values; the worth of the best pattern gives a lower bound
-    on the number of sequences, as does the total length, so the program ends within ``gap`` of the least number. A program that
-    would take more than ``rounds`` columns ends with the solution it has, which is whole but may be further from the least.
+    on the number of sequences, as does the total length, and the program goes on until it is within ``gap`` of that bound or no
+    pattern is worth more than a sequence. Columns that change nothing, as many in a row as there are sizes, end it too: then
+    it stands at a corner where prices no longer improve the plan, which is whole all the same.
     """
-    basis, used = _first_columns(sizes, demand, length)
-    inverse = np.linalg.inv(basis)
-    bound = float(demand @ sizes) / length
-    for _ in range(rounds):
-        if used.sum() <= (1 + gap) * bound:
-            break
+    basis, used, order = _first_columns(sizes, demand, length)
+    inverse = triangular_inverse(basis, order)
+    bound = float((demand * sizes).sum()) / length
+    idle = 0
+    while used.sum() > (1 + gap) * bound and idle <= len(sizes):
         prices = inverse.sum(axis=0)
         worth, column = best_pattern(sizes, prices, length)
         bound = max(bound, used.sum() / max(worth, 1e-9))
         if worth <= 1 + 1e-9:
             break
-        turn = inverse @ column
+        parts = np.flatnonzero(column)
+        turn = (inverse[:, parts] * column[parts]).sum(axis=1)
         ratio = np.where(turn > 1e-9, used / np.where(turn > 1e-9, turn, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
+        idle = idle + 1 if step * (worth - 1) <= 1e-12 * used.sum() else 0
         used = np.maximum(used - step * turn, 0)
         used[out] = step
         pivot = inverse[out] / turn[out]
-        inverse -= np.outer(turn, pivot)
+        inverse -= turn[:, None] * pivot
         inverse[out] = pivot
         basis[:, out] = column
     return basis, used
@@ -215,7 +235,8 @@ def packed(
         sequence += times
     places = spark.createDataFrame(table, "length long, low long, high long, each long, base long, at long")
 
-    piece = F.pmod(F.xxhash64("doc_id", "start"), F.lit(PIECES))
+    # As many pieces as the rows need: nearly all rows of a large corpus have the full length.
+    piece = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(sum(counts.values()) // PIECE_ROWS + 1))
     dealt = rows.withColumn("_piece", piece)
     before = Window.partitionBy("length").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "_piece").agg(F.count(F.lit(1)).alias("_n")).select(

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.components import components
+from tallymark.llm.minhash import copy_key
 from tallymark.llm.words import small_batches
 from tallymark.session import written
 
@@ -59,16 +60,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > runs).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``id`` and ``bits`` (the 64 bits as a signed long)."""
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **more) -> DataFrame:
+    """``id``, ``bits`` (the 64 bits as a signed long) and the columns ``more``."""
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(name) for name, c in more.items()])
+    types, names = dict(source.dtypes), ["id", "bits", *more]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), *batch.columns[2:]], names)
 
-    return source.mapInArrow(task, f"id {dict(source.dtypes)['id']}, bits bigint")
+    return source.mapInArrow(task, ", ".join(f"{name} {types.get(name, 'bigint')}" for name in names))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS, seed: int = SEED) -> list[int]:
@@ -116,6 +118,14 @@ def links(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS) -> DataFr
     return found.union(met).distinct()
 
 
+def _labelled(spark: SparkSession, nodes: DataFrame, radius: int) -> DataFrame:
+    """Add ``label``, common to a component, to the distinct ``bits`` of ``nodes``."""
+    # Nodes are named by their fingerprint; what a component needs of its rows follows from its nodes.
+    labels = components(spark, links(spark, nodes.select(F.col("bits").alias("node"), "bits"), radius))
+    return nodes.join(labels.select(F.col("node").alias("bits"), "label"), "bits", "left").select(
+        "bits", "low", F.coalesce("label", "bits").alias("label"))
+
+
 def near_duplicates(
     spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
     size: int = SHINGLE,
@@ -124,11 +134,22 @@ def near_duplicates(
     small_batches(spark)
     rows = written(spark, fingerprints(df, id_col, text_col, size), "fingerprints")
     nodes = written(spark, rows.groupBy("bits").agg(F.min("id").alias("low")), "nodes")
-    # Nodes are named by their fingerprint; the smallest id of a component follows from its nodes' smallest ids.
-    labels = components(spark, links(spark, nodes.select(F.col("bits").alias("node"), "bits"), radius))
-    named = nodes.join(labels.select(F.col("node").alias("bits"), "label"), "bits", "left").select(
-        "bits", "low", F.coalesce("label", "bits").alias("label"))
+    named = _labelled(spark, nodes, radius)
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     classes = named.join(least, "label").select("bits", "component_id")
     return rows.join(classes, "bits").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(
+    spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS,
+    size: int = SHINGLE,
+) -> DataFrame:
+    """``place`` (hash of the id) and ``copy`` (``copy_key`` of the text) of one row of each component: that of the smallest id, null ids
+    last, then of the least copy."""
+    small_batches(spark)
+    rows = fingerprints(df, id_col, text_col, size, copy=copy_key(F.col(text_col)))
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "copy")
+    nodes = written(spark, rows.groupBy("bits").agg(F.min(row).alias("low")), "nodes")
+    least = _labelled(spark, nodes, radius).groupBy("label").agg(F.min("low").alias("row"))
+    return least.select(F.xxhash64("row.id").alias("place"), "row.copy")

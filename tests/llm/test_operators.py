@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -605,6 +606,34 @@ def test_column_generation_reaches_the_optimum():
     assert abs(worth - 1.04) < 1e-9 and pattern.tolist() == [1, 1]
 
 
+def test_first_basis_is_inverted():
+    draw = np.random.default_rng(3)
+    for m, length in ((1, 10), (30, 100), (209, 1024), (500, 1024)):
+        sizes = np.sort(draw.choice(np.arange(1, length + 1), m, replace=False))
+        columns, used, order = packing._first_columns(sizes, draw.integers(1, 400, m).astype(float), length)
+        assert sorted(order) == list(range(m))
+        inverse = packing.triangular_inverse(columns, order)
+        at = draw.integers(0, m, 20)
+        assert np.allclose((inverse[at][:, :, None] * columns[None]).sum(axis=1), np.eye(m)[at])
+
+
+def test_many_lengths_are_planned_beside_a_session(spark):
+    """Some hundred lengths, on the driver of a running session, without a limit of threads: it must not stand still."""
+    assert spark.range(10).count() == 10
+    draw = np.random.default_rng(5)
+    histogram = {int(s): int(n) for s, n in zip(draw.choice(np.arange(1, 1025), 500, replace=False), draw.integers(1, 300, 500))}
+    found = []
+    work = threading.Thread(target=lambda: found.append(packing.patterns_of(histogram)), daemon=True)
+    work.start()
+    work.join(120)
+    assert found, "planning did not end"
+    made = Counter()
+    for times, pattern in found[0]:
+        for size, n in pattern.items():
+            made[size] += times * n
+    assert made == histogram
+
+
 def test_packing_cases(spark):
     assert packing.packed(spark, empty(spark)).count() == 0
     same = spark.createDataFrame([(1, "b c"), (1, "b c"), (None, "a"), (2, None)], "doc_id long, text string")

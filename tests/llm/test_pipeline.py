@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallymark.llm import catalog, oracle
+from tallymark.llm import catalog, minhash, oracle, simhash
 from tools.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -64,11 +64,45 @@ def test_stages_on_odd_rows(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, folder).count() >= odd.count()
     assert corpus_pipeline.STAGES[-1][1](spark, odd.where("false"), folder).count() == 0
     near = corpus_pipeline.near_dedup(spark, odd, folder)
-    assert near.where("doc_id = 1").count() == 1 and near.where("doc_id IS NULL").count() == 2
+    # Both texts of id 1 stay; of the rows without an id the one without a text and the one of three words.
+    assert near.where("doc_id = 1").count() == 2 and near.where("doc_id IS NULL").count() == 2
 
 
-def test_near_copies_are_dropped(spark):
-    """Near copies of a Jaccard of 0.8 to 0.97 go, those below 0.8 stay."""
+def test_near_dedup_against_brute_force(spark):
+    """One row of each component of fingerprints within two bits stays: that of the smallest id. Distances from 0 to 8 occur."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(60):
+        first = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([3, 30, 400, 1500]))]
+        rows.append(" ".join(first))
+        for edits in draw.sample(range(4), draw.randrange(3)):
+            second = list(first)
+            for e in range(edits):
+                second[draw.randrange(len(second))] = f"e{e}"
+            rows.append(" ".join(second))
+    rows += [None, "", " \t"]
+    draw.shuffle(rows)
+    bits = [simhash.fingerprint(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (bits[i] ^ bits[j]).bit_count() <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == [i for i in range(len(rows)) if find(i) == i]
+    assert 60 < len(kept) < len(rows) - 10
+
+
+def test_near_copies_of_minhash(spark):
+    """Near copies of a Jaccard of 0.8 to 0.97 are one class, those below 0.8 are not."""
     draw = random.Random(4)
     texts, kept = [], []
     for k, (words, edits) in enumerate([(300, 1), (300, 3), (300, 5), (300, 6), (120, 1), (120, 2), (300, 9), (120, 4)] * 5):
@@ -78,8 +112,10 @@ def test_near_copies_are_dropped(spark):
         kept += [len(texts)] + [len(texts) + 1] * (len(a & b) < 0.8 * len(a | b))
         texts += [" ".join(first), " ".join(second)]
     assert len(kept) == 50
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == kept
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keep = minhash.representatives(spark, docs)
+    found = docs.join(keep, (F.xxhash64("doc_id") == keep["place"]) & (minhash.copy_key(F.col("text")) == keep["copy"]), "left_semi")
+    assert sorted(r["doc_id"] for r in found.collect()) == kept
 
 
 def test_repeated_and_null_ids_lose_no_text(spark):
