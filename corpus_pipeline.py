@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, minhash, packing, quality
+from tallymark.llm import decontaminate, packing, quality, simhash
 from tallymark.session import written
 
 
@@ -19,13 +19,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of near copies: that of the smallest id, then of the least text digest; null ids come last.
 
-    Texts are near copies if their five-word shingles have a Jaccard similarity of 0.8 or more, found by MinHash bands and verified exactly.
+    Texts are near copies if the SimHash fingerprints of their three-word shingles differ in two bits at most.
     Rows are told apart by id and text, so a repeated id loses no text; of rows with the same id and text any one stays. Repeats
     are dropped in the map tasks before texts move.
     """
     place, copy = (next(name for k in count() if (name := f"_{what}{k}") not in docs.columns) for what in ("place", "copy"))
-    keep = minhash.representatives(spark, docs).toDF(place, copy)
-    named = docs.withColumn(place, F.xxhash64("doc_id")).withColumn(copy, minhash.copy_key(F.col("text")))
+    keep = simhash.representatives(spark, docs).toDF(place, copy)
+    named = docs.withColumn(place, F.xxhash64("doc_id")).withColumn(copy, simhash.copy_key(F.col("text")))
     return named.dropDuplicates([place, copy]).join(keep, [place, copy], "left_semi").select(*docs.columns)
 
 
