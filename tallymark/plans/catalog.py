@@ -15,7 +15,7 @@ from tallymark.functions import text as X
 from tallymark.functions.parse import cleaned_answer, first_list, with_parsed_answer
 from tallymark.functions.vectors import label_catalogue, nearest_label
 from tallymark.operators import (
-    bayes, classify, contrastive, metrics, pairs, prepare, prompting, reports, scoring, search,
+    bayes, classify, contrastive, metrics, nearest, pairs, prepare, prompting, reports, resume, scoring, search,
 )
 from tallymark.plans import inputs
 from tallymark.plans.inputs import PAGE_KEY
@@ -834,6 +834,46 @@ def generated_answers(spark, sf):
     return found.select(F.col("row_idx").alias("doc_id"), "prompt_id", "answer")
 
 
+def _marked_stub(instructions):
+    """The stand-in model of a second run, whose answers can be told from those of the first."""
+    return [f"2: {answer}" for answer in prompting.stub_generate(instructions)]
+
+
+@query
+def resumed_answers(spark, sf):
+    """M8: a run that ends after half of the parts, and one that goes on: the second asks only what the first left open."""
+    docs = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("context"))
+    path = scratch_path(spark, "answers")
+    resume.generate_on(spark, docs, PROMPTS, prompting.stub_generate, path, parts=4, most_parts=2)
+    found = resume.generate_on(spark, docs, PROMPTS, _marked_stub, path, parts=4)
+    return found.select(F.col("row_idx").alias("doc_id"), "prompt_id", "answer")
+
+
+def _vector_searches(spark, sf):
+    vectors = inputs.table(spark, sf, "embeddings")
+    index = nearest.build_index(spark, vectors, "vec_id", "embedding")
+    return index, vectors.where(F.col("vec_id") % 100 == 0)
+
+
+@query
+def indexed_neighbours(spark, sf):
+    """J6 for a large catalogue: the nearest other vector of every hundredth one, by lists, with the second pass that makes it exact."""
+    index, asked = _vector_searches(spark, sf)
+    found = nearest.nearest(spark, index, asked, "vec_id", "embedding", exact=True, others_only=True)
+    return found.select(F.col("name").alias("vec_id"), F.col("found").alias("nearest"), F.round("score", 6).alias("score"))
+
+
+@query
+def index_recall(spark, sf):
+    """How many of the same searches find the nearest vector with bounded probes alone, and whether that is nine in ten."""
+    index, asked = _vector_searches(spark, sf)
+    quick, exact = (
+        nearest.nearest(spark, index, asked, "vec_id", "embedding", exact=e, others_only=True).select("name", F.col("score").alias(f"s{int(e)}"))
+        for e in (False, True))
+    both = exact.join(quick, "name", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("s0") >= F.col("s1")) >= F.count(F.lit(1)) * 0.9).alias("nine_in_ten"))
+
+
 @query
 def extraction_run(spark, sf):
     """Labelled documents from prompts to the reports. The answers are stored before two

@@ -671,6 +671,14 @@ def build() -> dict[str, str]:
         "generated_answers": f"WITH {_stub('documents', '', [p.prompt_id for p in PROMPTS])} "
                              "SELECT row_id AS doc_id, prompt_id, answer FROM stub",
         "extraction_run": _extraction_run(),
+        "resumed_answers": f"WITH {_stub('documents', '', [p.prompt_id for p in PROMPTS])} SELECT row_id AS doc_id, prompt_id, "
+                           "CASE WHEN CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 < 2 THEN answer "
+                           "ELSE '2: ' || answer END AS answer FROM stub",
+        "indexed_neighbours": """SELECT a.vec_id, arg_max(b.vec_id, (round(s, 12), -b.vec_id)) AS nearest, round(max(s), 6) AS score
+            FROM (SELECT x.vec_id, y.vec_id AS other, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s
+            FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id) p
+            JOIN embeddings a ON a.vec_id = p.vec_id JOIN embeddings b ON b.vec_id = p.other GROUP BY a.vec_id""",
+        "index_recall": "SELECT CAST(count(*) AS BIGINT) AS n, true AS nine_in_ten FROM embeddings WHERE vec_id % 100 = 0",
         "bayes_weights": f"{_BAYES} SELECT label, feature, n, round(weight, 9) AS weight FROM weights",
         "bayes_predict": f"{_BAYES} SELECT doc_id, split, label, predicted_label, 'hashed-words+bayes' AS model_name_or_path FROM guessed",
         "bayes_metrics": f"{_BAYES}, {_metric_sql('guessed', 'label', 'predicted_label', 'split')} {_unpivot('split', 9)}",
