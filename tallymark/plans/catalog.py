@@ -149,20 +149,22 @@ def extraction_store(spark, sf):
 
 @query
 def report_from_store(spark, sf):
-    """The record report of one model from stored results, reading that model's folders and two scores only."""
+    """The record report of one model from its newest whole run, found by the manifest; a run that broke off beside it is not seen."""
     path = scratch_path(spark, "stored")
-    results.write_extraction(scoring.with_texts(_scored(spark, sf)), path, "vendor/model-a", PAGE_KEY)
-    stored = results.read_extraction(spark, path).where(F.col("model") == "vendor/model-a")
-    return reports.re_overview(stored)
+    scored = written(spark, scoring.with_texts(_scored(spark, sf)), "scored")
+    results.publish_extraction(scored.where(F.col("prompt_id") == "prompt_1"), path, "vendor/model-a", PAGE_KEY)
+    results.publish_extraction(scored, path, "vendor/model-a", PAGE_KEY)
+    scored.limit(1).write.parquet(f"{path}/{results.RUNS}/broken/scored")  # no row of the manifest names it
+    return reports.re_overview(results.published(spark, path, "scored", ["vendor/model-a"]))
 
 
 @query
 def classifier_store(spark, sf):
-    """Store predictions and metrics of both splits, read the combined sheet back."""
+    """Publish predictions and metrics of both splits as one run, read the combined sheet back."""
     path = scratch_path(spark, "classifier")
-    rows = _with_predictions(spark, sf)
-    results.write_classifier_run(written(spark, rows, "predictions"), {"max_iter": 100, "seed": SEED}, path)
-    return results.read_sheet(spark, path, "scores_validation_and_test_set")
+    rows = written(spark, _with_predictions(spark, sf), "predictions")
+    results.publish(spark, path, "classifier", results.classifier_sheets(rows, {"max_iter": 100, "seed": SEED}))
+    return results.published(spark, path, "scores_validation_and_test_set")
 
 
 def _with_predictions(spark, sf) -> DataFrame:

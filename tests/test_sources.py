@@ -167,3 +167,39 @@ def test_presence_fallback_and_factories(spark):
     assert not made  # made in the tasks, not here
     with pytest.raises(ValueError, match="presence prompt"):
         prompting.apply_prompts(df, prompting.stub_generate, presence_prompt="none")
+
+
+def test_a_run_that_breaks_off_is_never_seen(spark, tmp_path, monkeypatch):
+    """The second run breaks between two sheets, a third one between its sheets and the manifest: readers stay with the first."""
+    path, df = str(tmp_path / "runs"), scored_rows(spark)
+    with pytest.raises(ValueError, match="no whole run"):
+        results.published(spark, path, "scored")
+    first = results.publish_extraction(df, path, "vendor/m", ("filename",))
+    monkeypatch.setattr(results, "with_field_views", lambda d: d.select(F.raise_error(F.lit("broke off")).cast("string").alias("prompt_id"), F.lit("x").alias("label_view"), F.lit(1).alias("v")))
+    with pytest.raises(Exception, match="broke off"):
+        results.publish_extraction(df.where("filename = 'a'"), path, "vendor/m", ("filename",))
+    monkeypatch.undo()
+    monkeypatch.setattr(results, "_MANIFEST_ROW", "name string, number long, run long, sheets array<string>")
+    with pytest.raises(Exception):
+        results.publish_extraction(df.where("filename = 'a'"), path, "vendor/m", ("filename",))
+    monkeypatch.undo()
+    assert len(os.listdir(f"{path}/{results.RUNS}")) == 3
+    assert [(r["name"], r["number"], r["run"]) for r in results.whole_runs(spark, path).collect()] == [("vendor/m", 1, first)]
+    assert results.published(spark, path, "scored").count() == 3 and results.published(spark, path, "views").count() == 15
+
+
+def test_the_newest_whole_run_of_each_name_counts(spark, tmp_path):
+    path, df = str(tmp_path / "runs"), scored_rows(spark)
+    results.publish_extraction(df, path, "a", ("filename",))
+    results.publish_extraction(df.where("filename <> 'c'"), path, "b", ("filename",))
+    results.publish_extraction(df.where("filename = 'a'"), path, "a", ("filename",))
+    both = results.published(spark, path, "scored")
+    assert sorted((r["model"], r["filename"]) for r in both.collect()) == [("a", "a"), ("b", "a"), ("b", "b")]
+    assert results.published(spark, path, "views", ["b"]).count() == 10
+    assert {r["prompt_id"] for r in results.published(spark, path, "overview", ["a"]).collect()} == {"prompt_1"}
+    plan = both.where("prompt_id = 'prompt_1'").select("key_value_eval.f1_macro")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prompt_id" in plan and "recall" not in plan.split("ReadSchema")[1]
+    results.publish(spark, path, "c", {"scored": spark.range(2).select(F.col("id").alias("other"))})
+    with pytest.raises(ValueError, match="no whole run"):
+        results.published(spark, path, "views", ["c"])
+    assert results.published(spark, path, "scored", ["c"]).count() == 2
