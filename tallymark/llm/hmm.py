@@ -41,7 +41,7 @@ ROUNDS = 3
 SEED = 42
 TOKENS_TOGETHER = 1_000_000
 TEXTS_TOGETHER = 512
-STEPS_TOGETHER = 1 << 17
+STEPS_TOGETHER = 1 << 19
 _SMOOTH = 0.01
 _EMPTY = np.zeros(0, np.int64)
 
