@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.answers import best_class
 from tallymark.operators.metrics import macro_f1
 from tallymark.operators.search import Trial, best_trial, run_search
+from tallymark.session import written
 
 MAX_ITER = 100
 # What the search draws from: from hardly any to strong regularisation, and from a rough to a full fit.
@@ -50,8 +51,16 @@ def head(params: Mapping | None = None) -> LogisticRegression:
 
 
 def train(df: DataFrame, params: Mapping | None = None, text: str | None = "text") -> PipelineModel:
-    """Fit features and head on one frame; ``text=None`` expects a ``features`` column."""
-    return Pipeline(stages=(text_stages(text) if text else []) + [head(params)]).fit(df)
+    """Fit features and head on one frame; ``text=None`` expects a ``features`` column.
+
+    Texts are split and hashed once: the word counts are stored, and the document weights and the head's passes read those.
+    """
+    if not text:
+        return Pipeline(stages=[head(params)]).fit(df)
+    words, counts, weights = text_stages(text)
+    stored = written(df.sparkSession, counts.transform(words.transform(df)).select("label_id", "_counts"), "word-counts")
+    fitted = weights.fit(stored)
+    return PipelineModel(stages=[words, counts, fitted, head(params).fit(fitted.transform(stored))])
 
 
 def class_table(df: DataFrame) -> DataFrame:

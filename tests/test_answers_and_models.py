@@ -94,3 +94,16 @@ def test_search_takes_the_best_trial(spark):
 def test_words_keep_their_umlauts(spark):
     words = classify.text_stages()[0].transform(spark.createDataFrame([("für Qualität größer, 20%",)], "text string"))
     assert words.first()["_words"] == ["für", "qualität", "größer", "20"]
+
+
+def test_training_from_stored_counts_is_the_same(spark):
+    """The model of ``train`` is that of a plain pipeline over the same stages."""
+    from pyspark.ml import Pipeline
+
+    rows = [(f"wort{i % 5} preis{i % 3} " + "und " * (i % 4), i % 2) for i in range(40)] + [(None, 0), ("", 1)]
+    df = spark.createDataFrame([(t or "", y) for t, y in rows], "text string, label_id int")
+    ours = classify.train(df, {"reg_param": 0.01})
+    plain = Pipeline(stages=[*classify.text_stages("text"), classify.head({"reg_param": 0.01})]).fit(df)
+    assert len(ours.stages) == len(plain.stages) == 4
+    a, b = ([r["probability"][1] for r in m.transform(df).orderBy("text").collect()] for m in (ours, plain))
+    assert a == pytest.approx(b, abs=1e-9)
