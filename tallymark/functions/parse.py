@@ -6,6 +6,7 @@ import ast
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,24 +92,25 @@ def json_records(text: Column) -> Column:
     return F.transform(F.filter(maps, lambda m: m.isNotNull()), _last_value_wins)
 
 
-def _shape(text: Column) -> Column:
+def _frame(text: Column) -> Column:
     """A text with signs in place of its strings, plain numbers and constants, and without blanks."""
     frame = F.regexp_replace(text, _STRING, _S)
     frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NUMBER}(?![\w.{_S}])", _N)
     frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NAME}(?![\w.{_S}])", _C)
-    return F.regexp_replace(F.regexp_replace(frame, "[ \t]+", ""), _RECORD_SHAPE, _R)
+    return F.regexp_replace(frame, "[ \t]+", "")
 
 
-def _as_json(text: Column) -> Column:
+def _as_json(text: Column, frame: Column) -> Column:
     """A literal of a known shape as JSON: numbers and constants of records become strings that begin with a sign, commas before a closing
     bracket go. Strings are matched as well, so nothing inside them is touched; the sign behind them is taken away again."""
     marked = F.regexp_replace(text, rf"((?:{_STRING})[ \t]*:[ \t]*)({_NUMBER}|{_NAME})(?![\w.])|({_STRING})", f'$1$3"{_S}$2"')
-    return F.regexp_replace(replace_text(marked, f'"{_S}"', ""), rf",(?=[ \t]*[\]}}])|({_STRING})", "$1")
+    values = F.contains(frame, F.lit(":" + _N)) | F.contains(frame, F.lit(":" + _C))
+    text = F.when(values, replace_text(marked, f'"{_S}"', "")).otherwise(text)
+    return F.when(frame.rlike(r",[\]}]"), F.regexp_replace(text, rf",(?=[ \t]*[\]}}])|({_STRING})", "$1")).otherwise(text)
 
 
-def _of_shape(text: Column, shape: Column) -> Column:
+def _of_shape(text: Column, shape: Column, json: Column) -> Column:
     """The records of a literal of a known shape, with signed values; null where Python has to read it."""
-    json = _as_json(text)
     items = F.from_json(F.when(~shape.rlike(_RECORDS_SHAPE), json), T.ArrayType(T.StringType()), _JSON_LIKE)
     maps = F.transform(items, lambda e: F.from_json(e, T.MapType(T.StringType(), T.StringType()), _JSON_LIKE))
     # A string among the items is no record, even one that looks like it: such texts are left to Python.
@@ -163,8 +165,10 @@ def _literal_row(text: str | None) -> dict | None:
 def _literal_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore", SyntaxWarning)  # odd escapes in answers are no news
-        for batch in batches:
-            yield pa.array([_literal_row(text) for text in batch.to_pylist()], type=_LITERAL_ARROW)
+        for batch in batches:  # most texts were read by the JVM and are null here
+            asked = batch.is_valid().to_numpy(zero_copy_only=False)
+            found = pa.array([_literal_row(text) for text in batch.drop_null().to_pylist()], type=_LITERAL_ARROW)
+            yield found.take(pa.array(np.cumsum(asked) - 1, mask=~asked)) if asked.any() else pa.nulls(len(batch), _LITERAL_ARROW)
 
 
 # Deterministic, so filters on other columns pass below it and prune the scan. A filter on a parsed column is evaluated
@@ -189,18 +193,25 @@ def _read_exactly(staged: DataFrame) -> DataFrame:
     staged = staged.select("*", json_objects(text).alias("_json"))
     staged = staged.select("*", _needs_literal(text, F.col("_json")).alias("_hard"))
     known = F.col("_hard") & ~text.rlike(_ODD_LETTERS)
-    staged = staged.select("*", F.when(known, _shape(text)).alias("_shape"))
+    staged = staged.select("*", F.when(known, _frame(text)).alias("_frame"))
+    staged = staged.select("*", F.regexp_replace("_frame", _RECORD_SHAPE, _R).alias("_shape"))
+    listed = shape.rlike(_RECORDS_SHAPE) | shape.rlike(_MIXED_SHAPE)
+    staged = staged.select("*", F.when(listed, _as_json(text, F.col("_frame"))).alias("_rewritten"))
     triple = F.contains(text, F.lit("\'\'\'")) | F.contains(text, F.lit('"""')) | F.contains(text, F.lit("#"))
     staged = staged.select(
-        "*", _of_shape(F.when(shape.isNotNull(), text), shape).alias("_read"),
+        "*", _of_shape(F.when(shape.isNotNull(), text), shape, F.col("_rewritten")).alias("_read"),
         F.coalesce(shape.isin("", _N, _C) | (shape.rlike(_BAD_NAME) & ~triple), F.lit(False)).alias("_fails"))
     unread = F.col("_hard") & read.isNull() & ~F.col("_fails")
-    staged = staged.select("*", unread.alias("_unread"), _literal_records(F.when(unread, text)).alias("_literal"))
-    signed = F.exists(read, lambda r: F.exists(F.map_values(r), _signed))
+    signed = F.coalesce(F.contains("_rewritten", F.lit(_S)), F.lit(False)) & read.isNotNull()
+    staged = staged.select(  # few and short columns go past Python
+        "*", unread.alias("_unread"), F.when(unread, text).alias("_asked"), F.when(signed, _value_flags(read)).alias("_own_flags"),
+        F.when(unread | F.col("_fails"), F.lit(None)).when(F.col("_hard"), F.when(signed, _plain_values(read)).otherwise(read))
+        .otherwise(F.col("_json")).alias("_own"),
+    ).drop("_text", "_json", "_hard", "_frame", "_shape", "_rewritten", "_read")
+    staged = staged.select("*", _literal_records(F.col("_asked")).alias("_literal"))
     return staged.select(
-        "*", F.when(F.col("_unread"), F.col("_literal.records")).when(F.col("_fails"), F.lit(None))
-        .when(F.col("_hard"), F.when(signed, _plain_values(read)).otherwise(read)).otherwise(F.col("_json")).alias("_records"),
-        F.when(F.col("_unread"), F.col("_literal.literals")).when(signed, _value_flags(read)).alias("_flags"))
+        "*", F.when(F.col("_unread"), F.col("_literal.records")).otherwise(F.col("_own")).alias("_records"),
+        F.when(F.col("_unread"), F.col("_literal.literals")).otherwise(F.col("_own_flags")).alias("_flags"))
 
 
 def with_parsed_answer(
