@@ -32,7 +32,7 @@ from tallymark.session import written
 LENGTH = 1024
 END_ID = 0
 GAP = 0.001
-PIECE_ROWS = 1 << 15
+PIECES, PIECE_ROWS = 256, 1 << 15
 _TOKENIZERS: dict = {}
 
 
@@ -235,8 +235,9 @@ def packed(
         sequence += times
     places = spark.createDataFrame(table, "length long, low long, high long, each long, base long, at long")
 
-    # As many pieces as the rows need: nearly all rows of a large corpus have the full length.
-    piece = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(sum(counts.values()) // PIECE_ROWS + 1))
+    # More pieces for more rows: nearly all rows of a large corpus have the full length.
+    pieces_each = max(PIECES, sum(counts.values()) // PIECE_ROWS + 1)
+    piece = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(pieces_each))
     dealt = rows.withColumn("_piece", piece)
     before = Window.partitionBy("length").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "_piece").agg(F.count(F.lit(1)).alias("_n")).select(
