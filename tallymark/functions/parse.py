@@ -203,11 +203,15 @@ def _read_exactly(staged: DataFrame) -> DataFrame:
         F.coalesce(shape.isin("", _N, _C) | (shape.rlike(_BAD_NAME) & ~triple), F.lit(False)).alias("_fails"))
     unread = F.col("_hard") & read.isNull() & ~F.col("_fails")
     signed = F.coalesce(F.contains("_rewritten", F.lit(_S)), F.lit(False)) & read.isNotNull()
-    staged = staged.select(  # few and short columns go past Python
-        "*", unread.alias("_unread"), F.when(unread, text).alias("_asked"), F.when(signed, _value_flags(read)).alias("_own_flags"),
+    # One row in, one row out: filters on other columns pass below this step, filters on what was read stop here. Without it the optimizer
+    # would write the whole reading out once more for each column it is made of.
+    row = F.struct(
+        unread.alias("_unread"), F.col("_fails"), F.when(unread, text).alias("_asked"), F.when(signed, _value_flags(read)).alias("_own_flags"),
         F.when(unread | F.col("_fails"), F.lit(None)).when(F.col("_hard"), F.when(signed, _plain_values(read)).otherwise(read))
-        .otherwise(F.col("_json")).alias("_own"),
-    ).drop("_text", "_json", "_hard", "_frame", "_shape", "_rewritten", "_read")
+        .otherwise(F.col("_json")).alias("_own"))
+    inner = ("_text", "_json", "_hard", "_frame", "_shape", "_rewritten", "_read", "_fails")
+    keep = [c for c in staged.columns if c not in inner]
+    staged = staged.select(*keep, F.explode(F.array(row)).alias("_row")).select(*keep, "_row.*")
     staged = staged.select("*", _literal_records(F.col("_asked")).alias("_literal"))
     return staged.select(
         "*", F.when(F.col("_unread"), F.col("_literal.records")).otherwise(F.col("_own")).alias("_records"),
