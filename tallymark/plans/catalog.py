@@ -18,6 +18,7 @@ from tallymark.operators import (
     bayes, classify, contrastive, metrics, nearest, pairs, prepare, prompting, reports, resume, scoring, search,
 )
 from tallymark.plans import inputs
+from tallymark.operators.prompting import stub_generate
 from tallymark.plans.inputs import PAGE_KEY
 from tallymark.session import scratch_path, written
 from tallymark.sources import pages as page_files
@@ -837,8 +838,9 @@ def generated_answers(spark, sf):
 
 
 def _marked_stub(instructions):
-    """The stand-in model of a second run, whose answers can be told from those of the first."""
-    return [f"2: {answer}" for answer in prompting.stub_generate(instructions)]
+    """The stand-in model of a second run, whose answers can be told from those of the first. It names the function, not its module: what
+    travels to tasks travels by value, and a module holds handles of the session once its queries have run."""
+    return [f"2: {answer}" for answer in stub_generate(instructions)]
 
 
 @query

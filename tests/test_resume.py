@@ -71,3 +71,16 @@ def test_resume_cases(spark, tmp_path):
         found = resume.generate_on(spark, df, ASKED, model(notes, run), path, parts=3).collect()
         assert len(found) == 8 and {(r["row_idx"], r["answer"]) for r in found} == {(None, "f"), (1, "f"), (2, None), (3, "f")}
     assert calls(notes, "g") == 0 and calls(notes, "f") == 8
+
+
+def test_marked_model_travels_after_other_queries(spark):
+    """The parser's Python step holds a handle of the session once it has been used; the model of the second run must not take it along."""
+    from pyspark import cloudpickle
+
+    from tallymark.functions.parse import with_parsed_answer
+    from tallymark.plans import catalog
+
+    with_parsed_answer(spark.createDataFrame([("[{'a': 'b' 'c'}]",)], "pred_output_as_string string")).collect()
+    sent = cloudpickle.loads(cloudpickle.dumps(catalog._marked_stub))
+    text = f"{PROMPTS[0].template}page [/INST]"
+    assert sent([text]) == [f"2: {answer}" for answer in catalog.stub_generate([text])]
