@@ -203,3 +203,21 @@ def test_the_newest_whole_run_of_each_name_counts(spark, tmp_path):
     with pytest.raises(ValueError, match="no whole run"):
         results.published(spark, path, "views", ["c"])
     assert results.published(spark, path, "scored", ["c"]).count() == 2
+
+
+def _parts_per_file(folder, spark):
+    from pyspark.sql.functions import input_file_name
+
+    return [r["n"] for r in spark.read.parquet(folder).groupBy(input_file_name()).agg(F.count_distinct("filename").alias("n")).collect()]
+
+
+def test_extractions_are_stored_without_a_shuffle(spark, tmp_path):
+    """Every task writes its own rows: no file holds rows of two tasks."""
+    df = scored_rows(spark).repartitionByRange(3, "filename").withColumn("label", F.lit("has_criteria"))
+    assert df.select(F.spark_partition_id()).distinct().count() == 3
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    results.write_extraction(df, f"{tmp_path}/w", "m", ("filename",))
+    run = results.publish_extraction(df, f"{tmp_path}/p", "m", ("filename",))
+    assert set(_parts_per_file(f"{tmp_path}/w/scored", spark)) == {1}
+    assert set(_parts_per_file(f"{tmp_path}/p/{results.RUNS}/{run}/scored", spark)) == {1}
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
