@@ -221,3 +221,15 @@ def test_extractions_are_stored_without_a_shuffle(spark, tmp_path):
     assert set(_parts_per_file(f"{tmp_path}/w/scored", spark)) == {1}
     assert set(_parts_per_file(f"{tmp_path}/p/{results.RUNS}/{run}/scored", spark)) == {1}
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_a_published_run_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return x
+
+    df = scored_rows(spark).withColumn("conversion_status", F.udf(look)("conversion_status"))
+    results.publish_extraction(df, str(tmp_path), "m", ("filename",))
+    assert seen.value == df.count()
