@@ -16,6 +16,10 @@ RECORDS_SCHEMA = T.StructType([
 ])
 
 
+# A compressed file is read by one task, so files hold so many pages at most.
+FILE_ROWS = 100_000
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Scan annotated pages once, without inferring a schema.
 
@@ -30,4 +34,5 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    df.select(*RECORDS_SCHEMA.fieldNames()).write.json(path)
+    """Write annotated pages as compressed lines, in files of ``FILE_ROWS`` pages at most."""
+    df.select(*RECORDS_SCHEMA.fieldNames()).write.option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(path)

@@ -233,3 +233,17 @@ def test_a_published_run_is_computed_once(spark, tmp_path):
     df = scored_rows(spark).withColumn("conversion_status", F.udf(look)("conversion_status"))
     results.publish_extraction(df, str(tmp_path), "m", ("filename",))
     assert seen.value == df.count()
+
+
+def test_records_are_stored_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    from tallymark.sources import records
+
+    monkeypatch.setattr(records, "FILE_ROWS", 10)
+    rows = spark.range(25).coalesce(1).select(
+        F.concat("id", F.lit(".txt")).alias("filename"), F.lit("ä\n").alias("text_original"), F.lit(None).cast("string").alias("text_stripped_empty_spaces"),
+        F.lit("x").alias("label"), F.repeat(F.lit("text "), 1000).alias("context"), F.expr("array(map('kriterium', 'A'))").alias("criteria_info"))
+    records.write_records(rows, f"{tmp_path}/r")
+    files = [n for n in os.listdir(f"{tmp_path}/r") if n.startswith("part-")]
+    assert len(files) == 3 and sum(os.path.getsize(f"{tmp_path}/r/{n}") for n in files) < 25 * 500
+    got = records.read_records(spark, f"{tmp_path}/r").orderBy("row_idx").collect()
+    assert [r["filename"] for r in got] == [f"{k}.txt" for k in range(25)] and {r["text_original"] for r in got} == {"ä\n"}
