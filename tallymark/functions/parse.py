@@ -18,13 +18,14 @@ from tallymark.functions.text import replace_text
 
 RECORDS = T.ArrayType(T.MapType(T.StringType(), T.StringType()))
 _LENIENT = {"allowSingleQuotes": "true"}
-_QUOTED = r""""[^"\\]*"|'[^'\\]*'"""
+# A look at one letter first, then the alternatives: most letters begin no string.
+_QUOTED = r"""["'](?:(?<=")[^"\\]*+"|(?<=')[^'\\]*+')"""
 _NOT_A_LIST = "not a list of records"
 _MALFORMED = "malformed literal"
 
 # Reading of Python literals on the JVM. Possessive loops, so that long texts need no deep stack.
 _JSON_LIKE = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
-_STRING = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
+_STRING = r"""["'](?:(?<=")[^"\\]*+(?:\\.[^"\\]*+)*+"|(?<=')[^'\\]*+(?:\\.[^'\\]*+)*+')"""
 # Numbers whose text is their print form: no signed or leading zero, no exponent, few enough digits, no trailing zero.
 _NUMBER = r"(?:-?[1-9][0-9]{0,17}|0|-?(?:0(?!\.0000)|[1-9][0-9]{0,7})\.(?:0|[0-9]{0,5}[1-9]))"
 _NAME = "(?:None|True|False)"
@@ -34,10 +35,14 @@ _PAIR = f"{_S}:[{_S}{_N}{_C}]"
 _RECORD_SHAPE = rf"\{{(?:{_PAIR}(?:,{_PAIR})*+,?)?\}}"
 _RECORDS_SHAPE = rf"^\[(?:{_R}(?:,{_R})*+,?)?\]$"
 _MIXED_SHAPE = rf"^\[(?:[{_R}{_S}{_N}](?:,[{_R}{_S}{_N}])*+,?)?\]$"
+# The same with blanks, for texts whose strings are plain and stand alone as values.
+_PLAIN_PAIR = rf"{_S}\s*+:\s*+{_S}\s*+"
+_PLAIN_RECORD = rf"\{{\s*+(?:{_PLAIN_PAIR}(?:,\s*+{_PLAIN_PAIR})*+)?\}}\s*+"
+_PLAIN_SHAPE = rf"^\s*+\[\s*+(?:{_PLAIN_RECORD}(?:,\s*+{_PLAIN_RECORD})*+)?\]\s*+$"
 # What the shape cannot vouch for: other control characters, escapes that JSON reads otherwise or not at all.
 _ODD_LETTERS = r"[\x00-\x08\x0a-\x1f]|\\(?![\\'\"nrtbfu])|\\u(?![0-9a-cA-Ce-fE-F][0-9a-fA-F]{3}|[dD][0-7][0-9a-fA-F]{2})"
 # A name that is no constant, no string prefix and no call of an empty set makes any literal fail.
-_BAD_NAME = rf"(?<![\w.{_S}])(?!(?:None|True|False|set)\b)[A-Za-z_]\w*+(?!{_S})"
+_BAD_NAME = rf"(?=[A-Za-z_])(?<![\w.{_S}])(?!(?:None|True|False|set)\b)[A-Za-z_]\w*+(?!{_S})"
 _LITERAL = T.StructType([
     T.StructField("records", RECORDS),
     T.StructField("literals", T.ArrayType(T.MapType(T.StringType(), T.BooleanType()))),
@@ -95,8 +100,8 @@ def json_records(text: Column) -> Column:
 def _frame(text: Column) -> Column:
     """A text with signs in place of its strings, plain numbers and constants, and without blanks."""
     frame = F.regexp_replace(text, _STRING, _S)
-    frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NUMBER}(?![\w.{_S}])", _N)
-    frame = F.regexp_replace(frame, rf"(?<![\w.{_S}]){_NAME}(?![\w.{_S}])", _C)
+    frame = F.regexp_replace(frame, rf"(?=[-0-9])(?<![\w.{_S}]){_NUMBER}(?![\w.{_S}])", _N)
+    frame = F.regexp_replace(frame, rf"(?=[NTF])(?<![\w.{_S}]){_NAME}(?![\w.{_S}])", _C)
     return F.regexp_replace(frame, "[ \t]+", "")
 
 
@@ -112,7 +117,9 @@ def _as_json(text: Column, frame: Column) -> Column:
 def _of_shape(text: Column, shape: Column, json: Column) -> Column:
     """The records of a literal of a known shape, with signed values; null where Python has to read it."""
     items = F.from_json(F.when(~shape.rlike(_RECORDS_SHAPE), json), T.ArrayType(T.StringType()), _JSON_LIKE)
-    maps = F.transform(items, lambda e: F.from_json(e, T.MapType(T.StringType(), T.StringType()), _JSON_LIKE))
+    # Only records begin with a brace, see below; numbers and strings would be exceptions to the parser.
+    maps = F.transform(F.filter(items, lambda e: F.startswith(e, F.lit("{"))),
+                       lambda e: F.from_json(e, T.MapType(T.StringType(), T.StringType()), _JSON_LIKE))
     # A string among the items is no record, even one that looks like it: such texts are left to Python.
     braces = lambda c: F.length(c) - F.length(replace_text(c, "{", ""))
     open_ = braces(text) == braces(F.regexp_replace(text, _STRING, ""))
@@ -176,22 +183,24 @@ def _literal_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 _literal_records = F.arrow_udf(_literal_batches, _LITERAL)
 
 
-def _needs_literal(text: Column, records: Column) -> Column:
-    """True unless JSON and literal reading surely agree: plain quoted strings and punctuation only, no object inside
-    another one, no repeated key."""
-    frame = F.regexp_replace(text, _QUOTED, "")
-    braces = F.length(frame) - F.length(replace_text(frame, "{", ""))
+def _plain_text(text: Column) -> Column:
+    """The text where its shape is that of a list of flat records of plain quoted strings, else null: nothing else is given to the JSON parser, for
+    which every other text is an exception."""
+    return F.when(F.regexp_replace(text, _QUOTED, _S).rlike(_PLAIN_SHAPE), text)
+
+
+def _needs_literal(records: Column) -> Column:
+    """True unless JSON and literal reading of a plain text surely agree: it could be read, and no key is repeated."""
     repeated = F.exists(records, lambda r: F.size(F.array_distinct(F.map_keys(r))) < F.size(r))
-    plain = records.isNotNull() & frame.rlike(r"^[\[\]{}:,\s]*$") & (braces == F.size(records)) & ~repeated
-    return ~F.coalesce(plain, F.lit(False))
+    return records.isNull() | F.coalesce(repeated, F.lit(True))
 
 
 def _read_exactly(staged: DataFrame) -> DataFrame:
     """Add to ``_text`` its ``_records`` (null: none can be read) and ``_flags``, whether it is sure that it ``_fails``, and whether
     it was left ``_unread`` by the JVM and what Python made of it (``_literal``)."""
     text, shape, read = F.col("_text"), F.col("_shape"), F.col("_read")
-    staged = staged.select("*", json_objects(text).alias("_json"))
-    staged = staged.select("*", _needs_literal(text, F.col("_json")).alias("_hard"))
+    staged = staged.select("*", json_objects(_plain_text(text)).alias("_json"))
+    staged = staged.select("*", _needs_literal(F.col("_json")).alias("_hard"))
     known = F.col("_hard") & ~text.rlike(_ODD_LETTERS)
     staged = staged.select("*", F.when(known, _frame(text)).alias("_frame"))
     staged = staged.select("*", F.regexp_replace("_frame", _RECORD_SHAPE, _R).alias("_shape"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallymark.fixed import DIGIT_FIELDS, FIELDS, FIELD_TITLES, MATCH_FIELDS
-from tallymark.functions.text import digits_only, join_broken_words, python_json_string, replace_text
+from tallymark.functions.text import digits_only, join_broken_words, needs_escapes, python_json_string, replace_text
 
 
 def _clean_value(key: Column, value: Column) -> Column:
@@ -66,15 +66,17 @@ def record_text(record: Column) -> Column:
 
 def records_text(records: Column) -> Column:
     """All records as sorted sentences; an empty list gives an empty text."""
-    return F.array_join(F.array_sort(F.transform(records, record_text)), " ")
+    return F.array_join(F.sort_array(F.transform(records, record_text)), " ")
 
 
 def record_json(record: Column) -> Column:
     """A record as a JSON object with sorted keys, blanks after separators and ASCII escapes."""
-    pairs = F.transform(
-        F.array_sort(F.map_entries(record)),
-        lambda e: F.concat(python_json_string(e["key"]), F.lit(": "), python_json_string(e["value"])),
-    )
+    entries = F.sort_array(F.map_entries(record))
+    escaped = F.transform(entries, lambda e: F.concat(python_json_string(e["key"]), F.lit(": "), python_json_string(e["value"])))
+    plain = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
+    # One look at the whole record; most have nothing to escape.
+    letters = F.concat(F.array_join(F.map_keys(record), ""), F.array_join(F.map_values(record), ""))
+    pairs = F.when(needs_escapes(letters), escaped).otherwise(plain)
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
@@ -84,7 +86,7 @@ def records_json(records: Column) -> Column:
     def quoted(text: Column) -> Column:
         return F.concat(F.lit('"'), replace_text(replace_text(text, "\\", "\\\\"), '"', '\\"'), F.lit('"'))
 
-    texts = F.array_sort(F.transform(records, lambda r: quoted(record_json(r))))
+    texts = F.sort_array(F.transform(records, lambda r: quoted(record_json(r))))
     return F.concat(F.lit("["), F.array_join(F.transform(texts, quoted), ", "), F.lit("]"))
 
 

@@ -73,17 +73,30 @@ def display_name(c: Column, names: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for pair in names.items() for part in pair])[c]
 
 
+# Letters of German texts, whose escapes are spelled out; other letters are escaped unit by unit.
+_LETTERS = {c: f"\\u{ord(c):04x}" for c in "äöüÄÖÜß"}
+
+
+def needs_escapes(c: Column) -> Column:
+    """Whether a JSON text in plain ASCII has to escape anything: quotes, backslashes, and all but printed ASCII."""
+    return F.contains(c, F.lit('"')) | F.contains(c, F.lit("\\")) | c.rlike("[^ -~]")
+
+
 def python_json_string(c: Column) -> Column:
-    """A JSON string literal in plain ASCII: short escapes first, then \\uXXXX per UTF-16 unit."""
-    for raw, escape in (
-        ("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"),
-    ):
-        c = replace_text(c, raw, escape)
-    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    """A JSON string literal in plain ASCII: short escapes first, then \\uXXXX per UTF-16 unit. A text without anything to escape stays as it is."""
+    escapes = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f", **_LETTERS}
 
     def unit(u: Column) -> Column:
         code = F.conv(u, 16, 10).cast("int")
         return F.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
 
-    ascii_text = F.when(c.rlike("[^ -~]"), F.array_join(F.transform(units, unit), "")).otherwise(c)
-    return F.concat(F.lit('"'), ascii_text, F.lit('"'))
+    def by_units(text: Column) -> Column:
+        units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+        return F.when(text.rlike("[^ -~]"), F.array_join(F.transform(units, unit), "")).otherwise(text)
+
+    short = c
+    for raw, escape in escapes.items():
+        short = replace_text(short, raw, escape)
+    # An array of one, so that the short escapes are made once.
+    escaped = F.get(F.transform(F.array(short), by_units), F.lit(0))
+    return F.concat(F.lit('"'), F.when(needs_escapes(c), escaped).otherwise(c), F.lit('"'))

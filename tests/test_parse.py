@@ -95,3 +95,11 @@ def test_null_words(spark):
 def test_first_list(spark):
     df = spark.createDataFrame([("a [1] [2]", ), ("none",), ("[x [y] z",)], "x string")
     assert [r[0] for r in df.select(first_list(F.col("x"))).collect()] == ["[1]", "none", "[y]"]
+
+
+def test_only_plain_lists_reach_the_first_json_parser(spark):
+    """What the parser would throw on is told by its shape before."""
+    texts = {'[{"a":"b"}]': True, "[ { 'a' : '' , \"b\":\"c\"} , {} ]": True, "[]": True, "[{}]": True, "Nein.": False, "[x]": False,
+             '[{"a":"b"},]': False, '[1, {"a":"b"}]': False, '{"a":"b"}': False, '[{"a":true}]': False, '[{"a":"b" "c"}]': False, "": False}
+    df = spark.createDataFrame([(t,) for t in texts], "_text string")
+    assert {r[0]: r[1] is not None for r in df.select("_text", parse._plain_text(F.col("_text"))).collect()} == texts

@@ -44,3 +44,18 @@ def test_percent_and_names(spark):
 def test_json_strings_match_the_json_module(spark):
     raw = ['a"b', "ä", "x\\y", "l\n\t\r\b\f", "\x01\x7f", "€ 5", "𝄞", "", "null"]
     assert values(spark, raw, X.python_json_string) == [json.dumps(r) for r in raw]
+
+
+def test_letters_are_escaped_as_python_does(spark):
+    """Alone and in records: what stays as it is, German letters, control characters, other scripts and pairs of units."""
+    import json
+
+    from tallymark.functions.records import record_json
+    from tallymark.functions.text import needs_escapes, python_json_string
+
+    texts = ["plain [x] ~!#", "", "Qualität Größe ÄÖÜ", 'a"b', "a\\b", "\x7f\x00\x1f", "\t\n\r\b\f", "ä\\u00e4", "日本 ä", "😀é"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").cache()
+    assert [r[0] for r in df.select(python_json_string(F.col("x"))).collect()] == [json.dumps(t) for t in texts]
+    assert [r[0] for r in df.select(needs_escapes(F.col("x"))).collect()] == [False, False] + [True] * 8
+    record = F.create_map(F.lit("k"), F.lit("v"), F.lit("a"), F.col("x"))
+    assert [r[0] for r in df.select(record_json(record)).collect()] == [json.dumps({"a": t, "k": "v"}) for t in texts]
