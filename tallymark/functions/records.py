@@ -74,9 +74,9 @@ def record_json(record: Column) -> Column:
     entries = F.sort_array(F.map_entries(record))
     escaped = F.transform(entries, lambda e: F.concat(python_json_string(e["key"]), F.lit(": "), python_json_string(e["value"])))
     plain = F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"')))
-    # One look at the whole record; most have nothing to escape.
+    # One look at the whole record, whose letters are joined once; most have nothing to escape.
     letters = F.concat(F.array_join(F.map_keys(record), ""), F.array_join(F.map_values(record), ""))
-    pairs = F.when(needs_escapes(letters), escaped).otherwise(plain)
+    pairs = F.when(F.exists(F.array(letters), needs_escapes), escaped).otherwise(plain)
     return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
 
 
