@@ -103,3 +103,15 @@ def test_only_plain_lists_reach_the_first_json_parser(spark):
              '[{"a":"b"},]': False, '[1, {"a":"b"}]': False, '{"a":"b"}': False, '[{"a":true}]': False, '[{"a":"b" "c"}]': False, "": False}
     df = spark.createDataFrame([(t,) for t in texts], "_text string")
     assert {r[0]: r[1] is not None for r in df.select("_text", parse._plain_text(F.col("_text"))).collect()} == texts
+
+
+def test_annotated_records_are_cleaned_above_the_reading(spark, tmp_path):
+    """The reading copies its rows step by step; what does not need it is made after it."""
+    from tallymark.plans import catalog
+
+    spark.sql("SELECT 1L AS l_orderkey, 2L AS l_partkey, 3L AS l_suppkey, 1 AS l_linenumber, 4D AS l_quantity, 0.05D AS l_discount, "
+              "'A' AS l_returnflag, 'F' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog._parsed(spark, str(tmp_path)).select("y_true", "y_pred")
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython", 1)
+    assert "y_true" in above and "y_true" not in below
+    assert df.first()["y_true"] == [{"zkNummer": "1", "kriterium": "Preis AF", "gewichtung": "5", "maxPunkte": "4"}]
