@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +47,30 @@ DAMAGE = 97
 HELD_WORDS = 200_000
 HELD_LETTERS = 8 << 20
 _PART = 1 << 20
+_AT_ONCE = 1 << 15
+_SHORT = 64
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _GAP = re.compile("[^a-zÀ-ÿ]")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_CRC = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)  # what a register's low byte becomes
 
 
-def runs(text: str) -> Iterator[str]:
-    """The runs of letters of a lower-cased text; a long text is read in parts that end between runs."""
+def _parts(text: str) -> Iterator[str]:
+    """A lower-cased text; a long one in parts that end between runs."""
     at = 0
     while at < len(text):
         gap = _GAP.search(text, at + _PART) if len(text) - at > _PART else None
         end = gap.start() if gap else len(text)
-        yield from _RUN.findall(text[at:end])
+        yield text[at:end] if end - at < len(text) else text
         at = end
 
 
+def runs(text: str) -> Iterator[str]:
+    """The runs of letters of a lower-cased text; a long text is read in parts that end between runs."""
+    for part in _parts(text):
+        yield from _RUN.findall(part)
+
+
 def damaged(start: int, run: str, every: int = DAMAGE) -> str:
     """The run without one letter if the checksum says so; ``start`` is the checksum of the id and a colon."""
     h = zlib.crc32(run.encode(), start)
@@ -69,35 +80,83 @@ def damaged(start: int, run: str, every: int = DAMAGE) -> str:
     return run[:k] + run[k + 1:]
 
 
+class _Held(defaultdict):
+    """Words with a place each, in the order of their places, and how often they occurred.
+
+    A checksum is linear: that of an id, a colon and a run is the run's own, xor what the id's becomes by as many zero bytes. So a run's
+    checksum is made once for each word held, and all occurrences are looked at together.
+    """
+
+    def __init__(self):
+        super().__init__(count().__next__)
+        self.letters, self.counts = 0, np.zeros(0, np.int64)
+        self.sums, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _grow(self) -> list[str]:
+        words = list(self)
+        new = words[len(self.sums):]
+        self.letters += sum(map(len, new))
+        new = [w.encode() for w in new]
+        self.sums = np.append(self.sums, np.fromiter(map(zlib.crc32, new), np.uint32, len(new)))
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, new), np.int64, len(new)))
+        self.counts = np.append(self.counts, np.zeros(len(new), np.int64))
+        return words
+
+    def add(self, places: array, starts: array, ends: array, every: int) -> None:
+        """Count occurrences; ``starts``: checksum of the id and a colon, of the occurrences before ``ends``."""
+        if not len(places):
+            return
+        words = self._grow()
+        ids = np.frombuffer(places, np.int64)
+        starts = np.array(starts, np.uint32)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.array(ends), prepend=0))
+        sizes = self.sizes[ids]
+        after = [starts]
+        for _ in range(min(int(sizes.max()), _SHORT)):
+            after.append(_CRC[after[-1] & np.uint32(255)] ^ (after[-1] >> np.uint32(8)))
+        h = self.sums[ids] ^ np.stack(after)[np.minimum(sizes, _SHORT), of]
+        asked = np.flatnonzero((h % np.uint32(every) == 0) | (sizes > _SHORT))  # these one by one
+        self.counts += np.bincount(ids, minlength=len(self)) - np.bincount(ids[asked], minlength=len(self))
+        if len(asked):
+            back = [self[damaged(start, words[k], every)] for k, start in zip(ids[asked].tolist(), starts[of[asked]].tolist())]
+            self._grow()
+            self.counts += np.bincount(back, minlength=len(self))
+
+    def rows(self, min_length: int) -> pa.RecordBatch:
+        words = pa.array(self.keys(), pa.string())
+        kept = pa.RecordBatch.from_arrays([words, pa.array(self.counts)], ["word", "n"])
+        return kept.filter(pc.and_(pc.greater_equal(pc.utf8_length(words), min_length), pc.greater(kept.column(1), 0)))
+
+
 def word_counts(
     spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH,
     min_count: int = MIN_COUNT, damage: int = DAMAGE,
 ) -> DataFrame:
-    """``word``, ``n``. A task holds ``HELD_WORDS`` words or ``HELD_LETTERS`` letters of them at most; what it hands on is summed by Spark."""
+    """``word``, ``n``. A task holds about ``HELD_WORDS`` words or ``HELD_LETTERS`` letters of them at most; what it hands on is summed by Spark."""
     small_batches(spark)
     source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+    find = re.compile(f"[a-zÀ-ÿ]{{{max(min_length, 1)},}}").findall  # an edit makes no run longer
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, letters = Counter(), 0
+        held, ids, starts, ends, read = _Held(), array("q"), array("L"), array("q"), 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not text.is_valid:
                     continue
                 start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
-                for run, n in Counter(runs(text.as_buffer().to_pybytes().translate(_LOWER).decode())).items():
-                    word = damaged(start, run, damage)
-                    if len(word) >= min_length:
-                        if word not in held:
-                            letters += len(word)
-                        held[word] += n
-                if len(held) >= HELD_WORDS or letters >= HELD_LETTERS:
-                    yield out(held)
-                    held, letters = Counter(), 0
-        if held:
-            yield out(held)
+                for part in _parts(text.as_buffer().to_pybytes().translate(_LOWER).decode()):
+                    ids.extend(map(held.__getitem__, find(part)))
+                    starts.append(start)
+                    ends.append(len(ids))
+                    read += len(part)
+                    if read >= _PART or len(starts) >= _AT_ONCE or len(held) >= HELD_WORDS:
+                        held.add(ids, starts, ends, damage)
+                        ids, starts, ends, read = array("q"), array("L"), array("q"), 0
+                        if len(held) >= HELD_WORDS or held.letters >= HELD_LETTERS:
+                            yield held.rows(min_length)
+                            held = _Held()
+        held.add(ids, starts, ends, damage)
+        yield held.rows(min_length)
 
     counts = source.mapInArrow(task, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= min_count)
@@ -126,7 +185,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The walks (``tid``, ``back``, ``text``, ``n``, ``half``, ``path``), the edges (``node``, ``child``, ``label``, ``ends``, ``low``,
-    ``high``: least and greatest number of letters from the child to the end of a word) and the hot nodes.
+    ``high``: least and greatest number of letters from the child to the end of a word, ``nexts``: the first letters of the child's own
+    edges) and the hot nodes.
     """
     m = F.length("word")
     both = words.select("word", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("back")).select(
@@ -151,7 +211,9 @@ def trie(spark: SparkSession, words: DataFrame) -> tuple[DataFrame, DataFrame, D
         (F.length("text") - F.col("p.b.depth")).alias("rest"))
     edges = steps.groupBy("node", "child").agg(
         F.min("label").alias("label"), F.bool_or("ends").alias("ends"), F.min("rest").alias("low"), F.max("rest").alias("high"))
-    return walks, written(spark, edges, "edges"), hot
+    edges = written(spark, edges, "edges")
+    begins = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("nexts"))
+    return walks, written(spark, edges.join(begins, "child", "left").withColumn("nexts", F.coalesce("nexts", F.lit(""))), "begun"), hot
 
 
 def _hot_nodes(spark: SparkSession, nodes: DataFrame, rows: int) -> DataFrame:
@@ -170,21 +232,26 @@ def _dealt_join(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 _HERE, _MORE = "substring(text, pos + 1, length(label))", "substring(text, pos + 1, length(label) + 1)"
+# A state goes on if a word ends where its own word does, or if an edge begins with its word's next letter.
+_GOES_ON = "CASE WHEN pos = length(text) THEN ends ELSE instr(nexts, substring(text, pos + 1, 1)) > 0 END"
 
 
 def _one_edit(walks: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
     """The states after the one edit: those without an edit, at every place of a word's way, joined with the edges that go on from there."""
     ways = walks.select("tid", "back", "text", "n", "half", F.explode("path").alias("p")).select(
         "tid", "back", "text", "n", "half", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"), F.col("p.ends").alias("here_ends"))
-    here, more, size = F.expr(_HERE), F.expr(_MORE), F.length("label")
-    # No edit before the half: the ways begin there. The rest must fit the words behind the edge.
-    rest = F.length("text") - F.col("pos") - size
-    replaced = (F.length(here) == size) & (here < F.col("label")) & rest.between(F.col("low"), F.col("high")) & (F.levenshtein(here, "label", 1) == 1)
-    left_out = (F.length(more) == size + 1) & (here != F.col("label")) & (rest - 1).between(F.col("low"), F.col("high")) & (F.levenshtein(more, "label", 1) == 1)
-    met = _dealt_join(ways.drop("here_ends"), edges, hot)
-    made = met.select(
-        "tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends",
-        F.explode(F.array_compact(F.array(F.when(replaced, F.col("pos") + size), F.when(left_out, F.col("pos") + size + 1)))).alias("pos"))
+    here, more, size, left = F.expr(_HERE), F.expr(_MORE), F.length("label"), F.length("text") - F.col("pos")
+    # No edit before the half: the ways begin there. The rest must fit the words behind the edge, so the label's letters are all there.
+    fits = lambda rest: rest.between(F.col("low"), F.col("high"))
+    single = lambda c, one: F.when(size == 1, one).otherwise(F.levenshtein(c, "label", 1) == 1)
+    replaced = fits(left - size) & (here < F.col("label")) & single(here, F.lit(True))
+    left_out = fits(left - size - 1) & (here != F.col("label")) & single(more, F.substr("text", F.col("pos") + 2, F.lit(1)) == F.col("label"))
+    # Most edges fall out, so they do before an array is made.
+    after = lambda step: F.col("pos") + size + step
+    made = _dealt_join(ways.drop("here_ends"), edges, hot).where(replaced | left_out).select(
+        "tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends", "nexts",
+        F.explode(F.when(~left_out, F.array(after(0))).when(~replaced, F.array(after(1))).otherwise(F.array(after(0), after(1)))).alias("pos"))
+    made = made.where(_GOES_ON).drop("nexts")
     # The last letter left out: the word's own way ends a word one letter before its end.
     last = ways.where("here_ends AND pos = length(text) - 1").select("tid", "back", "text", "n", "half", "node", F.col("here_ends").alias("ends"), F.length("text").alias("pos"))
     return made.unionByName(last)
@@ -197,7 +264,9 @@ def _advanced(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     known = edges.withColumn("key", first("label", F.lit(1))).drop("node")
     rest = F.length("text") - F.col("pos") - F.length("label")
     met = asked.join(known, "key").where((F.expr(_HERE) == F.col("label")) & rest.between(F.col("low"), F.col("high")))
-    return met.select("tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends", (F.col("pos") + F.length("label")).alias("pos"))
+    return met.select(
+        "tid", "back", "text", "n", "half", F.col("child").alias("node"), "ends", "nexts", (F.col("pos") + F.length("label")).alias("pos"),
+    ).where(_GOES_ON).drop("nexts")
 
 
 def neighbours(spark: SparkSession, words: DataFrame) -> DataFrame:
@@ -206,7 +275,7 @@ def neighbours(spark: SparkSession, words: DataFrame) -> DataFrame:
     at_end, hits = F.col("pos") == F.length("text"), None
     frontier = _one_edit(walks, edges, hot)
     while True:
-        frontier = written(spark, frontier.where(~at_end | F.col("ends")), "level")
+        frontier = written(spark, frontier, "level")
         found = frontier.where(at_end).select("back", "text", "n", "half", "node")
         hits = found if hits is None else hits.union(found)
         frontier = frontier.where(~at_end)
@@ -220,8 +289,8 @@ def neighbours(spark: SparkSession, words: DataFrame) -> DataFrame:
     # A letter left out of a run of equal letters over the half is found from both ends: the front walk's pair counts.
     front = F.length("word") - F.col("half")
     pairs = pairs.where((F.col("back") == 0) | (F.substring("word", F.lit(1), front) != F.substring("near", F.lit(1), front)))
-    pairs = pairs.select("word", "n", "near", "near_n")
-    return pairs.union(pairs.select("near", "near_n", "word", "n"))
+    way = lambda *c: F.struct(*(F.col(x).alias(y) for x, y in zip(c, ("word", "n", "near", "near_n"))))
+    return pairs.select(F.inline(F.array(way("word", "n", "near", "near_n"), way("near", "near_n", "word", "n"))))
 
 
 def variants(

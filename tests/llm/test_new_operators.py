@@ -104,6 +104,34 @@ def test_many_held_words_are_whole(spark, monkeypatch):
     assert {tuple(r) for r in spelling.word_counts(spark, df).collect()} == set(plain_counts(rows).items())
 
 
+@pytest.mark.parametrize("held", [3, 200_000])
+def test_counts_by_joined_checksums(spark, monkeypatch, held):
+    """Runs about and above the length up to which checksums are joined, letters of two bytes, ids of many lengths, steps of a few texts."""
+    monkeypatch.setattr(spelling, "HELD_WORDS", held)
+    monkeypatch.setattr(spelling, "_AT_ONCE", 4)
+    draw = random.Random(5)
+    pool = ["".join(draw.choices("abcéÿX", k=k)) for k in (*range(1, 9), 31, 32, 33, 63, 64, 65, 66, 200) for _ in range(3)]
+    rows = [(draw.choice([None, k, -k, 10**k]), draw.choice([" ", "2", "œ"]).join(draw.choices(pool, k=30))) for k in range(18)]
+    rows += [(1, None), (2, ""), (3, "12 3"), *rows[:4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for damage in (1, 3, 97):
+        got = [tuple(r) for r in spelling.word_counts(spark, df, damage=damage).collect()]
+        want = plain_counts(rows, damage=damage)
+        assert len(got) == len(want) > 0 and dict(got) == want
+
+
+def test_first_edits_go_on(spark):
+    """No state is kept after the edit whose word's next letter begins no edge, or whose word ends where no word does."""
+    draw = random.Random(6)
+    pool = {"".join(draw.choices("abcd", k=draw.randint(5, 8))) for _ in range(400)}
+    walks, edges, hot = spelling.trie(spark, spark.createDataFrame([(w, 3) for w in sorted(pool)], "word string, n long"))
+    states = spelling._one_edit(walks, edges, hot).localCheckpoint()
+    on = states.where("pos < length(text)").withColumn("first", F.expr("substring(text, pos + 1, 1)"))
+    begun = edges.select("node", F.expr("substring(label, 1, 1)").alias("first"))
+    assert on.count() > 0 and on.join(begun, ["node", "first"], "left_anti").isEmpty()
+    assert states.where("pos = length(text) AND NOT ends").isEmpty()
+
+
 # 12 ------------------------------------------------------------------------------------------------------------------
 
 def plain_codes(rows, parts=4, entries=256, rounds=4):
