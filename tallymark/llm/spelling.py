@@ -7,7 +7,8 @@ edits behind the first half, the back walk for the others, so no walk branches w
 The trie keeps the places where words part or end and where a half ends; an edge carries the letters between two of them. A state is
 (word, position, node, edits). The states without an edit are the places on a word's own way, which the trie gives; joined with the edge
 table they make the one edit: an edge whose letters stand in the word but for one replaced letter or one left out. A state
-is kept if its word's next letter begins an edge of its node, or if both its word and a word of the trie end there. These states are then joined with the edge table level by level, and now the letters must stand there as they are. A state at the end of its
+is kept if its word's next letter begins an edge of its node, or if both its word and a word of the trie end there. These
+states are then joined with the edge table level by level, and now the letters must stand there as they are. A state at the end of its
 word and at the end of a word of the trie is a neighbour. Only the longer word of a pair, or the smaller of two of one
 length, looks for the other: the pair is then entered both ways. Nodes are 64-bit hashes of prefixes, so two prefixes might
 share one; each hit is therefore compared as text, and what a shared hash adds falls out there.
