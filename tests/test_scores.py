@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallymark.fixed import FIELDS, SCORE_FIELDS
+from tallymark.fixed import FIELDS, FIELD_TITLES, SCORE_FIELDS
 from tallymark.functions.scores import pair_scores, scores_from_counts, set_counts
 from tallymark.operators import scoring
 
@@ -94,6 +94,30 @@ def test_field_views(spark):
     assert got["kriterium"]["y_pred"] is None and got["kriterium"]["y_pred_as_string"] == ""
 
 
+def test_field_views_are_made_in_compiled_steps(spark):
+    """Lists of every length to beyond what is spelled out, with missing fields, empty texts and a null record, against the plain definition."""
+    lists = [None, [], [None], [{"kriterium": "b", "gewichtung": ""}, {"kriterium": "a!"}, {"kriterium": "a"}, {"x": "y"}, {"zkNummer": "9"}]]
+    lists += [[{"kriterium": str(7 * i % 5), "maxPunkte": str(i)} for i in range(n)] for n in range(1, 8)]
+    rows = [(i, t, lists[-1 - i]) for i, t in enumerate(lists)]
+    df = spark.createDataFrame(rows, "id int, y_true array<map<string,string>>, y_pred array<map<string,string>>")
+
+    def text(records, fields):
+        return " ".join(sorted("".join(f"{FIELD_TITLES[f]} ist {r[f]}. " for f in fields if f in r) for r in records or []))
+
+    views = scoring.with_field_views(df)
+    got = {(r["id"], r["label_view"]): r for r in views.collect()}
+    assert len(got) == 5 * len(lists) and views.columns == ["id", "label_view", "y_true", "y_pred", "y_true_as_string", "y_pred_as_string"]
+    for i, *sides in rows:
+        for name, records in zip(("y_true", "y_pred"), sides):
+            assert got[i, "None"][name] == records
+            assert got[i, "None"][f"{name}_as_string"] == text([r or {} for r in records or []], FIELDS)
+            for f in FIELDS:
+                one = None if records is None else [{f: (r or {}).get(f, "")} for r in records]
+                assert got[i, f][name] == one and got[i, f][f"{name}_as_string"] == text(one, [f])
+    plan = views._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.split("\n") if "Generate explode" in line and "lambda" not in line]
+
+
 def lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
