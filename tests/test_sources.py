@@ -247,3 +247,25 @@ def test_records_are_stored_compressed_in_bounded_files(spark, tmp_path, monkeyp
     assert len(files) == 3 and sum(os.path.getsize(f"{tmp_path}/r/{n}") for n in files) < 25 * 500
     got = records.read_records(spark, f"{tmp_path}/r").orderBy("row_idx").collect()
     assert [r["filename"] for r in got] == [f"{k}.txt" for k in range(25)] and {r["text_original"] for r in got} == {"ä\n"}
+
+
+def test_tasks_that_write_by_parts_read_little(spark, tmp_path, monkeypatch):
+    """Every file is a task of its own under a small limit; the session's own limit holds where it is smaller, and comes back."""
+    from tallymark import session
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.range(1000).withColumn("p", F.lit("x")).repartition(16).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 20)
+    with session.by_parts(spark.read.parquet(f"{tmp_path}/in"), ("p",)) as writer:
+        assert spark.conf.get(key) == str(1 << 20)
+        writer.parquet(f"{tmp_path}/out")
+    assert len([f for f in os.listdir(f"{tmp_path}/out/p=x") if f.endswith(".parquet")]) == 16
+    assert spark.conf.get(key) == before and spark.read.parquet(f"{tmp_path}/out").count() == 1000
+    spark.conf.set(key, "1000")
+    try:
+        with session.by_parts(spark.range(1), ()):
+            assert spark.conf.get(key) == "1000"
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key)
